@@ -32,7 +32,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secret import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op1_packing": op1_packing,
     "op10_sentencepiece": op10_sentencepiece,

@@ -44,7 +44,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source is the host) and pages, one row each."""
+    from tessera.llm.language import identify_documents, identify_pages
+
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("long")
+    a = identify_documents(docs).select("doc_id", none.alias("page_id"), "declared", "identified", "confidence", "accepted")
+    b = identify_pages(table(spark, sf_dir, "pages"), docs)
+    b = b.select(none.alias("doc_id"), "page_id", "declared", "identified", "confidence", "accepted")
+    return a.unionByName(b)
+
+
 QUERIES = {
+    "op6_language": op6_language,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op9_exact_dedup": op9_exact_dedup,

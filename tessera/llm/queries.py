@@ -56,7 +56,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_and_index
+
+    merged = archive_and_index(table(spark, sf_dir, "pages"))
+    return merged.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
     "op6_language": op6_language,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,

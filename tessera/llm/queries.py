@@ -63,7 +63,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_jaccard": op5_jaccard,
     "op2_warc": op2_warc,
     "op6_language": op6_language,
     "op3_secrets": op3_secrets,

@@ -46,14 +46,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Distributed union-find over edges (src long, dst long): (node, component).
+    """Distributed union-find over edges (src, dst) of any ordered type: (node, component).
 
     component is the smallest node of the component. Each round contracts: every node
     hooks onto its smallest neighbour, labels are shortened by pointer jumping, and edges
     are rewritten between labels until none is left. Every round is a written table, so a
     lost executor costs one round at most. Nodes without edges don't appear.
     """
-    spark = edges.sparkSession
     live = written(
         edges.where("src <> dst")
         .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -95,5 +94,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
-        return spark.createDataFrame([], "node long, component long")
+        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("root").alias("component"))

@@ -69,7 +69,25 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lines import drop_similar_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return drop_similar_lines(docs).select("doc_id", "n_lines", "n_dropped", kept)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonymise(docs, secret="a key that production takes from its vault")
+    return found.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"))
+
+
 QUERIES = {
+    "op7_lines": op7_lines,
+    "op8_pii": op8_pii,
     "op5_jaccard": op5_jaccard,
     "op2_warc": op2_warc,
     "op6_language": op6_language,

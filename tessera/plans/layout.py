@@ -203,9 +203,11 @@ class Layout:
 
     def size_in(self, raw: bytes) -> int:
         """The length of the record that raw starts with."""
-        if isinstance(self.top.size, int):
-            return self.top.size
-        return _Sizer(self, raw).node(self.root, 0)
+        return self.sizer(raw)
+
+    @property
+    def sizer(self) -> Sizer:
+        return sizer_of(self)
 
     # what they hold
 
@@ -336,35 +338,69 @@ class Layout:
         return "\n".join(out)
 
 
-class _Sizer:
-    """Lengths of variable records, for framing without record marks: counters are read as bytes."""
-
-    def __init__(self, layout: Layout, raw: bytes):
-        self.layout, self.raw, self.at = layout, raw, {}
-
-    def node(self, n: Node, at: int) -> int:
-        self.at.setdefault(id(n), at)
+@dataclass
+class Sizer:
+    """Lengths of variable records, for framing without record marks: counters are read as
+    bytes. It holds no columns, so tasks can take it along."""
+
+    root: Node
+    anchors: dict[str, Node]
+    fields: dict[int, tuple[int, str]]  # of atoms, by their order: size and kind
+    order: dict[str, int]
+    little: bool
+
+    def __call__(self, raw: bytes) -> int:
+        self.raw, self.at = raw, {}
+        return self._size(self.root, 0, "")
+
+    def _size(self, n: Node, at: int, path: str) -> int:
+        self.at.setdefault(path, at)
         if n.kind == "atom":
-            return self.layout.atom_size(n)
+            return self.fields[self.order[path]][0]
         if n.kind == "ref":
             return 0
+        parts = {k: (c, f"{path}/{k}") for k, c in n.children.items()}
         if n.kind == "oneOf":
-            return max(self.node(c, at) for c in n.children.values())
+            return max(self._size(c, at, p) for c, p in parts.values())
         if n.kind == "object":
             here = at
-            for c in n.children.values():
-                here += self.node(c, here)
+            for c, p in parts.values():
+                here += self._size(c, here, p)
             return here - at
-        count = self._counter(self.layout.anchors[n.ref]) if n.ref else int(n.schema.get("maxItems", n.schema.get("minItems", 1)))
-        return count * self.node(n.item, at)
-
-    def _counter(self, n: Node) -> int:
-        f = self.layout.field_of(n)
-        raw = self.raw[self.at[id(n)] : self.at[id(n)] + self.layout.atom_size(n)]
-        if f.kind == "binary":
-            return int.from_bytes(raw, "little" if self.layout.little else "big", signed=True)
+        item, p = parts["items"]
+        count = self._counter(n.ref) if n.ref else int(n.schema.get("maxItems", n.schema.get("minItems", 1)))
+        return count * self._size(item, at, p)
+
+    def _counter(self, anchor: str) -> int:
+        path = self.paths[anchor]
+        size, kind = self.fields[self.order[path]]
+        raw = self.raw[self.at[path] : self.at[path] + size]
+        if kind == "binary":
+            return int.from_bytes(raw, "little" if self.little else "big", signed=True)
         h = raw.hex()
-        return int(h[:-1] or 0) if f.kind == "packed" else int(h[1::2] or 0)
+        return int(h[:-1] or 0) if kind == "packed" else int(h[1::2] or 0)
+
+
+def sizer_of(layout: Layout) -> Sizer:
+    fields: dict[int, tuple[int, str]] = {}
+    order: dict[str, int] = {}
+    paths: dict[str, str] = {}
+
+    def walk(n: Node, path: str) -> None:
+        for anchor, found in layout.anchors.items():
+            if found is n:
+                paths[anchor] = path
+        if n.kind == "atom":
+            f = layout.field_of(n)
+            order[path] = len(fields)
+            fields[len(fields)] = (layout.atom_size(n), f.kind if f else "text")
+        for k, c in n.children.items():
+            walk(c, f"{path}/{k}")
+
+    walk(layout.root, "")
+    out = Sizer(layout.root, layout.anchors, fields, order, layout.little)
+    out.paths = paths
+    return out
 
 
 def known_converter(name: str) -> bool:

@@ -91,7 +91,7 @@ def read_ebcdic(
         lrecl = lrecl or layout.size
     elif recfm.upper() == "N" and isinstance(layout.top.size, int):
         recfm, lrecl = "F", layout.size  # records of one size need no walk
-    rows = read_records(spark, path, recfm, lrecl, None if recfm.upper() != "N" else layout.size_in)
+    rows = read_records(spark, path, recfm, lrecl, None if recfm.upper() != "N" else layout.sizer)
     return rows.select(*([layout.col(p).alias(p) for p in paths] if paths else layout.values()))
 
 

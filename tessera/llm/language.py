@@ -223,7 +223,7 @@ def identify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def identify_pages(pages: DataFrame, labelled: DataFrame, key: str = "page_id") -> DataFrame:
     """The same of pages with the columns url and html; labelled: doc_id, text, lang."""
     langs, model = train(labelled, "doc_id", "text", "lang")
-    rows = page_evidence(pages)
+    rows = page_evidence(pages.select(key, "url", "html"))
     scored = score_texts(rows, [key], "html", ["host", "domain", "declared", "suffix"], model, markup=True)
     return fuse(scored, langs, "host", "domain", "declared", "suffix").select(key, "declared", "identified", "confidence", "accepted")
 

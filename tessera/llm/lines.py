@@ -19,7 +19,8 @@ and texts of documents once, to take lines out.
 
 Cases: null text stays null and an empty text stays empty; rows with a null key keep their
 text; rows that repeat a key count as one document's lines; ties go to the smaller key,
-then line number; extra columns are kept; an empty table gives no rows.
+then line number; extra columns are kept, but for
+n_lines and n_dropped, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,12 +105,16 @@ def drop_similar_lines(df: DataFrame, key: str = "doc_id", text: str = "text", t
     roots, _ = similar_lines(df, key, text, threshold)
     lines = split_lines(df, key, text).select("key", "no", *_hashes())
     gone = lines.join(roots, ["h", "g"]).where((F.col("root.key") != F.col("key")) | (F.col("root.no") != F.col("no")))
-    gone = written(gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("no").alias("_gone")), "gone")
-    out = df.join(gone, df[key] == F.col("_key"), "left")
+    gone = written(gone.groupBy(F.col("key").alias("__tessera_key")).agg(F.collect_set("no").alias("__tessera_gone")), "gone")
+    out = df.join(gone, df[key] == F.col("__tessera_key"), "left")
     parts = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__tessera_gone", i)), "\n")
     return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in df.columns],
+        *[
+            F.when(F.col("__tessera_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c)
+            for c in df.columns
+            if c not in ("n_lines", "n_dropped")
+        ],
         F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        F.when(F.col("__tessera_gone").isNull(), F.lit(0)).otherwise(F.size("__tessera_gone")).cast("long").alias("n_dropped"),
     )

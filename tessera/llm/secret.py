@@ -121,22 +121,26 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, access, hexes)
 
 
-def find_secrets(df: DataFrame, key: str, text: str, ratios: list[float]) -> DataFrame:
-    """key, text, base (array of spans), spans (all of them); spans sorted by start, kind."""
-    out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("base", F.array_sort(base_spans(F.col("_t"))))
-    runs = F.filter(
-        find_spans(F.col("_t"), RUN, 3),
-        lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+def find_secrets(df: DataFrame, text: str, ratios: list[float], base: str = "base", spans: str = "spans") -> DataFrame:
+    """df with the array columns base and spans (all of them), sorted by start and kind.
+
+    They replace columns of the same names.
+    """
+    t, runs = "__tessera_text", "__tessera_runs"
+    out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(base, F.array_sort(base_spans(F.col(t))))
+    found = F.filter(
+        find_spans(F.col(t), RUN, 3),
+        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    out = out.withColumn("_runs", runs)
+    out = out.withColumn(runs, found)
 
     def secret(s: Column) -> Column:
         llr = score(s["value"], ratios)
         # digits alone are numbers, not secrets
         return s["value"].rlike("[A-Za-z]") & (llr >= THRESHOLD) & (llr >= RATE * (s["end"] - s["start"]))
 
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.filter("_runs", secret)))).drop("_runs")
+    return out.withColumn(spans, F.array_sort(F.concat(base, F.filter(runs, secret)))).drop(runs, t)
 
 
 def model(df: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
@@ -145,7 +149,7 @@ def model(df: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]
 
 def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans, n_markov; one row per row of df."""
-    found = find_secrets(df.select(key, text), key, text, model(df, key, text))
+    found = find_secrets(df.select(key, text), text, model(df, key, text))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         key,
@@ -160,6 +164,7 @@ def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def redact_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span replaced by a mark; null texts stay null."""
-    found = find_secrets(df, key, text, model(df, key, text))
-    clean = replaced(F.col("_t"), F.col("spans"), lambda s: F.lit(mark))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*df.columns)
+    base, spans = "__tessera_base", "__tessera_spans"
+    found = find_secrets(df, text, model(df, key, text), base, spans)
+    clean = replaced(F.col(text), F.col(spans), lambda s: F.lit(mark))
+    return found.withColumn(text, clean).select(*df.columns)

@@ -245,3 +245,17 @@ def test_dump_and_explain(spark):
     rows = df.select(F.explode(layout.dump()).alias("x")).select("x.*").collect()
     assert next(r for r in rows if r.field == "REC-2").offset == 17
     assert "F1" in layout.explain()
+
+
+def test_schemas_are_checked():
+    from tessera.api import check_schema, schema_problems
+
+    good = schema_from_copybook(ODO, free=True)
+    assert not list(schema_problems(good))
+    check_schema(good)
+    for bad in (
+        {"type": "text"}, {"type": "array"}, {"properties": []}, {"type": "string", "maxLength": -1}, {"$ref": "http://x"},
+        {"type": "object", "properties": {"A": {"$ref": "#B"}}},
+    ):
+        with pytest.raises(ValueError):
+            check_schema(bad)

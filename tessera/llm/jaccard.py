@@ -16,7 +16,7 @@ with: rows grow with texts, not pairs. Distributed union-find joins those to cla
 
 Cases: null text counts as empty; empty texts are one text class without links; a null key
 takes part in no class; ties need no rule, since leaders and classes are smallest keys; rows
-that repeat a key and text count once; extra columns are ignored; an empty table gives none.
+that repeat a key and text count once (a key names one text); extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
         held, now = [], None
 
         def done():
-            rows = sorted(held, key=lambda r: r[0])
+            rows = sorted({r[0]: r for r in held}.values())  # a row that is there twice counts once
             reps = np.array([r[0] for r in rows], np.int64)
             a, b = _verify(
                 np.array([r[1] for r in rows]),

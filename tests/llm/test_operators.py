@@ -328,7 +328,7 @@ def test_exact_groups(spark, docs, rows, empty):
     for i, t, *_ in rows:
         groups[low(t)].append(i)
     texts = {i: low(t) for i, t, *_ in rows}
-    got = exact.exact_groups(docs, per_trigger="1k").collect()
+    got = exact.exact_groups(docs, per_trigger=1000).collect()
     assert len(got) == len(rows)
     for r in got:
         own = groups[texts[r.doc_id]]

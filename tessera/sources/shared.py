@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN: list[str] = []
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path. Only where the setting is absent (tests) a temporary folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        base = _OWN[0]
     return f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"

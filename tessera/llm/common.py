@@ -9,17 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used,
-    and the session remembers it. The folder is removed when the driver ends.
+    Only where the setting is absent (tests on one machine) a temporary folder is used.
+    The folder is removed when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        base = _OWN[0]
     path = f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -45,6 +48,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows: those with the smallest hash of their key.
+
+    A threshold on the hash, from the number of all rows, leaves little more than `rows`
+    of them before any are sorted, so no task gathers rows of many partitions.
+    """
+    total, top = df.count(), 1 << 40
+    if total > 2 * rows:
+        df = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(top)) < int(top * (1.3 * rows + 100) / total))
+    return df.orderBy(F.pmod(F.xxhash64(F.col(key)), F.lit(top)), F.col(key)).limit(rows)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Distributed union-find over edges (src, dst) of any ordered type: (node, component).
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import bounded_sample, written
 
 BUCKETS = 1 << 14
 TRAIN_DOCS = 4000
@@ -67,8 +67,7 @@ def _plain(value: str | None, markup: bool) -> bytes:
 
 def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of the buckets, from a bounded sample."""
-    some = labelled.where(F.col(lang).isNotNull()).select(key, text, lang)
-    some = some.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(max_docs).select(text, lang)
+    some = bounded_sample(labelled.where(F.col(lang).isNotNull()).select(key, text, lang), key, max_docs).select(text, lang)
 
     def count(batches):
         for batch in batches:

@@ -27,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_sample
 from tessera.llm.spans import find_spans, replaced, shown
 
 # Fixed patterns of the base kinds.
@@ -54,8 +55,7 @@ def labelled_samples(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_D
         F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("w"), "s"), 256))), "+/=", "-_"),
     )
     random = ids.select(F.explode(kinds).alias("value"), F.lit(1).alias("label"))
-    some = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    some = some.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(max_docs)
+    some = bounded_sample(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")), key, max_docs)
     # what the patterns find is not ordinary
     plain = F.regexp_replace(F.regexp_replace("_t", ASSIGN, " "), r"[0-9a-f]{24,}|AKIA[A-Z0-9]+", " ")
     words = some.select(F.regexp_extract_all(plain, F.lit(r"[A-Za-z]{2,}"), F.lit(0)).alias("w"))

@@ -14,8 +14,10 @@ which the first line (by key, then line number) stays. Members that resemble a t
 of a bucket but none of its leaders still meet it in the other bands; this is part of the
 recall that the tests measure.
 
-Built-in functions only. Shuffled are hashes and line numbers, the texts of candidate lines,
-and texts of documents once, to take lines out.
+Built-in functions only. Shuffled are hashes and line numbers, the texts of candidate lines
+(a broadcast bitmap of fixed size picks them out during the scan), and texts of documents
+once, to take lines out. Nodes are 64-bit hashes; the few different lines that share one
+are left alone.
 
 Cases: null text stays null and an empty text stays empty; rows with a null key keep their
 text; rows that repeat a key count as one document's lines; ties go to the smaller key,
@@ -35,6 +37,7 @@ from tessera.llm.common import connected_components, written
 WIDE, NARROW = 12, 5
 SKETCH = 4
 THRESHOLD = 0.8
+BITS = 1 << 25  # of the bitmap that is broadcast: 4 MB
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,37 +70,60 @@ def shingle_set(line: str) -> Column:
 
 
 def candidate_pairs(known: DataFrame) -> DataFrame:
-    """(a, b) of lines, each of a bucket's members with its two leaders; known: id, bands."""
-    spread = known.select("id", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    """(a, b) of lines, each of a bucket's members with its two leaders; known: h, bands."""
+    spread = known.select("h", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     buckets = written(buckets.where("low <> high"), "buckets")
-    met = spread.join(buckets, "band").select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    met = spread.join(buckets, "band").select("h", F.explode(F.array("low", "high")).alias("other")).where("h <> other")
+    return met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
+def _bit(h: str) -> Column:
+    return F.pmod(F.col(h), F.lit(BITS)) + 1
+
+
+def only_marked(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of df (with h) that may be among marks (h): a bitmap of BITS bits is broadcast.
+
+    Its size is fixed. With very many marks it lets more rows pass, never fewer.
+    """
+    maps = marks.select(_bit("h").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map")
+    )
+    near = df.withColumn("_bucket", F.bitmap_bucket_number(_bit("h"))).join(F.broadcast(maps), "_bucket")
+    at = F.bitmap_bit_position(_bit("h"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright({0}, cast({1} % 8 as int)) & 1 = 1".format("_byte", "_at"))
+    return near.withColumns({"_byte": byte, "_at": at}).where(set_).drop("_bucket", "_map", "_byte", "_at")
 
 
 def similar_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Lines that repeat or resemble others: (h, g, root) by hash, and the verified pairs."""
+    """Lines that repeat or resemble others: (h, g, root) by hash, and the verified pairs of h."""
     lines = split_lines(df, key, text)
     place = F.struct("key", "no")
     known = lines.select(place.alias("id"), *_hashes(), band_keys("line").alias("bands"))
-    known = written(
-        known.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "lines"
+    known = known.groupBy("h").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("g").alias("g"), F.max("g").alias("_g"), F.first("bands").alias("bands")
     )
+    # different lines with one hash are left alone
+    known = written(known.where("g = _g").drop("_g"), "lines")
     pairs = written(candidate_pairs(known), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = written(ids.select("id.key", "id.no"), "candidates")
-    texts = written(lines.join(ids, ["key", "no"]).select(place.alias("id"), "line").dropDuplicates(["id"]), "candidate-lines")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
+    found = only_marked(lines.select("line", F.xxhash64("line").alias("h")), ids)
+    texts = written(found.groupBy("h").agg(F.first("line").alias("line")), "candidate-lines")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    both = both.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     # lines whose lengths differ too much can't be similar enough
     near = F.least(F.length("x"), F.length("y")) * F.lit(2) >= F.greatest(F.length("x"), F.length("y"))
     both = both.where(near).select("a", "b", shingle_set("x").alias("s"), shingle_set("y").alias("t"))
     both = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("i"))
     same = written(both.where(F.col("i") * (1 + threshold) >= threshold * (F.col("m") + F.col("n")) - 1e-9).select("a", "b"), "same")
-    roots = connected_components(same.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    root = known.join(roots.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left")
-    root = root.where((F.col("n") > 1) | F.col("root").isNotNull())
-    return written(root.select("h", "g", F.coalesce("root", "id").alias("root")), "roots"), same
+    parts = connected_components(same.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    parts = parts.select(F.col("node").alias("h"), "component")
+    about = written(known.select("h", "g", "n", "id").join(parts, "h", "left").where("n > 1 or component is not null"), "about")
+    first = written(about.where("component is not null").groupBy("component").agg(F.min("id").alias("first")), "first")
+    root = about.join(first, "component", "left").select("h", "g", F.coalesce("first", "id").alias("root"))
+    return written(root, "roots"), same
 
 
 def drop_similar_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -72,10 +72,15 @@ def retain(keys: DataFrame, key: str) -> DataFrame:
     )
 
 
-def stream_retained(spark, path: str, schema, key: str, per_trigger: str | None = None) -> DataFrame:
+def stream_retained(spark, path: str, schema, key: str, per_trigger: int | None = None) -> DataFrame:
     """Runs every file of path through retain() as a stream; returns the final state's rows."""
     session = spark.newSession()  # so that the caller's settings stay as they are
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in (
+        ("allowFAllocate", "false"),  # else each state partition reserves megabytes before it holds a row
+        ("changelogCheckpointing.enabled", "true"),  # commits upload changes, not whole stores
+    ):
+        session.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", value)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     out, at = shared_dir(spark, "retained"), shared_dir(spark, "stream")
     reader = session.readStream.schema(schema)
@@ -107,7 +112,7 @@ def stream_retained(spark, path: str, schema, key: str, per_trigger: str | None
     )
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", per_trigger: str | None = None) -> DataFrame:
+def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", per_trigger: int | None = None) -> DataFrame:
     """One row per row of df: key, keep_id, group_size, kept, text_sha256."""
     spark = df.sparkSession
     path = shared_dir(spark, "digests")

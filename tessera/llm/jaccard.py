@@ -188,11 +188,16 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def verified_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) per text and task; members: leader, bi, bj, rep, block, leaders, grams."""
+def verified_links(members: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
+    """(node, links, root) per text and task; members: leader, bi, bj, rep, block, leaders, grams.
+
+    With pairs the verified pairs (a, b) themselves, of which a group has quadratically many.
+    """
+    names = ["a", "b"] if pairs else ["node", "links", "root"]
 
     def work(batches):
         held, now = [], None
+        ready, count = [], 0
 
         def done():
             rows = sorted({r[0]: r for r in held}.values())  # a row that is there twice counts once
@@ -205,13 +210,15 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
                 now[1] != now[2],
                 threshold,
             )
+            if pairs:
+                return [reps[a], reps[b]]
             links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
             some = np.flatnonzero(links)
             root = _roots(len(rows), a, b)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(reps[some]), pa.array(links[some], pa.int64()), pa.array(reps[root[some]])],
-                names=["node", "links", "root"],
-            )
+            return [reps[some], links[some].astype(np.int64), reps[root[some]]]
+
+        def together():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ready, strict=True)], names=names)
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
@@ -219,14 +226,46 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
             for i, (leader, bi, bj, rep, block, leaders) in enumerate(zip(*columns, strict=True)):
                 if (leader, bi, bj) != now:
                     if len(held) > 1:
-                        yield done()
+                        ready.append(done())
+                        count += len(ready[-1][0])
+                        if count > 8192:
+                            yield together()
+                            ready, count = [], 0
                     held, now = [], (leader, bi, bj)
                 held.append((rep, block, leaders, raw[i].as_py()))
         if len(held) > 1:
-            yield done()
+            ready.append(done())
+        if ready:
+            yield together()
 
     dealt = members.repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
-    return dealt.mapInArrow(work, "node long, links long, root long")
+    return dealt.mapInArrow(work, ", ".join(f"{x} long" for x in names))
+
+
+def bucket_groups(spread: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rep, groups (leader, number of blocks) of all that share a bucket; spread: rep, band; buckets: band, leader."""
+    led = written(spread.join(buckets, "band").select("leader", "rep").distinct(), "groups")
+    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
+    sizes = written(sizes.select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "sizes")
+    placed = led.join(sizes, "leader").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("leader", "nb"))).alias("groups"))
+    return written(placed, "members")
+
+
+def dealt_members(whole: DataFrame, text: str, make_sets) -> DataFrame:
+    """Members for verified_links of whole (rep, groups, text); make_sets: texts to sorted gram sets."""
+
+    def make(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in make_sets(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "groups", "grams"]
+            )
+
+    sets = whole.select("rep", "groups", text).mapInArrow(make, "rep long, groups array<struct<leader:long,nb:int>>, grams binary")
+    sets = sets.select("rep", "grams", F.col("groups.leader").alias("leaders"), F.explode("groups").alias("g"))
+    block = F.pmod(F.xxhash64("rep"), F.col("g.nb").cast("long")).cast("int")
+    sets = sets.select("rep", "grams", "leaders", F.col("g.leader").alias("leader"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
+    return sets.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "leaders", "grams")
 
 
 def similar_groups(
@@ -247,25 +286,9 @@ def similar_groups(
     spread = classes.select("rep", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = written(buckets.drop("m"), "buckets")
-    led = written(spread.join(buckets, "band").select("leader", "rep").distinct(), "groups")
-    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    sizes = written(sizes.select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "sizes")
-    placed = led.join(sizes, "leader").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("leader", "nb"))).alias("groups"))
-    placed = written(placed, "members")
-
-    def make(batches):
-        for batch in batches:
-            sets = [grams(t, n).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "groups", "grams"]
-            )
-
+    placed = bucket_groups(spread, buckets)
     whole = placed.join(df.select(F.col(key).alias("rep"), text), "rep")
-    sets = whole.select("rep", "groups", text).mapInArrow(make, "rep long, groups array<struct<leader:long,nb:int>>, grams binary")
-    sets = sets.select("rep", "grams", F.col("groups.leader").alias("leaders"), F.explode("groups").alias("g"))
-    block = F.pmod(F.xxhash64("rep"), F.col("g.nb").cast("long")).cast("int")
-    sets = sets.select("rep", "grams", "leaders", F.col("g.leader").alias("leader"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
-    members = sets.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "leaders", "grams")
+    members = dealt_members(whole, text, lambda texts: [grams(t, n) for t in texts])
     links = written(verified_links(members, threshold), "links")
 
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))

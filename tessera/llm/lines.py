@@ -6,18 +6,16 @@ MinHash over its character shingles of up to WIDE characters that start where a
 each pair of values in it is a band, so lines at a shingle similarity of 0.67 still meet
 with a probability of about 0.95, and at 0.8 with 0.99.
 
-A bucket of lines is named by its smallest and its largest member, and every member is
-paired with these two leaders only, so that candidates grow with lines, however large a
-bucket is. Pairs are verified by exact Jaccard similarity (THRESHOLD) of the sets of all
-NARROW-character shingles. Distributed union-find joins verified pairs to components, of
-which the first line (by key, then line number) stays. Members that resemble a third line
-of a bucket but none of its leaders still meet it in the other bands; this is part of the
-recall that the tests measure.
-
-Built-in functions only. Shuffled are hashes and line numbers, the texts of candidate lines
-(a broadcast bitmap of fixed size picks them out during the scan), and texts of documents
-once, to take lines out. Nodes are 64-bit hashes; the few different lines that share one
-are left alone.
+A bucket of lines is named by its smallest member, its leader; all members of a bucket meet,
+in blocks, as in jaccard.py: a pair is verified once, by exact Jaccard similarity (THRESHOLD)
+of the sets of all NARROW-character shingles. Distributed union-find joins verified pairs to
+components, of which the first line (by key, then line number) stays.
+
+Verification runs on numpy in Python, which is not native form: array functions of Spark
+would compare every pair of a bucket on its own. Shuffled are hashes and line numbers, the
+texts and shingle sets of candidate lines (a broadcast bitmap of fixed size picks them out
+during the scan), and texts of documents once, to take lines out. Nodes are 64-bit hashes;
+the few different lines that share one are left alone.
 
 Cases: null text stays null and an empty text stays empty; rows with a null key keep their
 text; rows that repeat a key count as one document's lines; ties go to the smaller key,
@@ -29,10 +27,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, written
+from tessera.llm.jaccard import _mix, bucket_groups, dealt_members, verified_links
 
 WIDE, NARROW = 12, 5
 SKETCH = 4
@@ -63,19 +64,35 @@ def band_keys(line: str) -> Column:
     return F.get(F.transform(F.array(least), lambda x: bands(x)), F.lit(0))
 
 
-def shingle_set(line: str) -> Column:
-    """All distinct NARROW-character shingles; a shorter line is one."""
-    found = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % NARROW), F.lit(1))
-    return F.when(F.length(line) <= NARROW, F.array(F.col(line))).otherwise(F.array_distinct(found))
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all NARROW-character shingles, line by line, and where each line begins.
 
-
-def candidate_pairs(known: DataFrame) -> DataFrame:
-    """(a, b) of lines, each of a bucket's members with its two leaders; known: h, bands."""
-    spread = known.select("h", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    buckets = written(buckets.where("low <> high"), "buckets")
-    met = spread.join(buckets, "band").select("h", F.explode(F.array("low", "high")).alias("other")).where("h <> other")
-    return met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+    A shorter line is one shingle.
+    """
+    size = np.array([len(x) for x in lines], np.int64)
+    wide = np.maximum(size, NARROW)
+    ends = np.cumsum(wide)
+    chars = np.frombuffer("".join(x.ljust(NARROW, "\0") for x in lines).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    for i in np.flatnonzero(size < NARROW):
+        chars[ends[i] - NARROW + size[i] : ends[i]] = 0  # no character of a text
+    n = len(chars) - NARROW + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(NARROW):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + chars[i : n + i]
+    inside = np.ones(len(chars), bool)
+    for i in range(1, NARROW):
+        inside[ends - i] = False
+    number = wide - NARROW + 1
+    return _mix(out[inside[:n]]), np.cumsum(number) - number
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    out = []
+    for start in range(0, len(lines), 256):
+        hashes, begins = shingles(lines[start : start + 256])
+        out += [np.unique(x) for x in np.split(hashes, begins[1:])]
+    return out
 
 
 def _bit(h: str) -> Column:
@@ -98,7 +115,7 @@ def only_marked(df: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def similar_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Lines that repeat or resemble others: (h, g, root) by hash, and the verified pairs of h."""
+    """Lines that repeat or resemble others: (h, g, root) by hash, and the verified pairs of h (made when read)."""
     lines = split_lines(df, key, text)
     place = F.struct("key", "no")
     known = lines.select(place.alias("id"), *_hashes(), band_keys("line").alias("bands"))
@@ -107,18 +124,18 @@ def similar_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     )
     # different lines with one hash are left alone
     known = written(known.where("g = _g").drop("_g"), "lines")
-    pairs = written(candidate_pairs(known), "pairs")
-    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    found = only_marked(lines.select("line", F.xxhash64("line").alias("h")), ids)
+    spread = known.select(F.col("h").alias("rep"), F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last"))
+    buckets = written(buckets.where("leader <> _last").drop("_last"), "buckets")
+    shared = only_marked(spread.withColumnRenamed("band", "h"), buckets.select(F.col("band").alias("h"))).withColumnRenamed("h", "band")
+    placed = bucket_groups(shared, buckets)
+    found = only_marked(lines.select("line", F.xxhash64("line").alias("h")), placed.select(F.col("rep").alias("h")))
     texts = written(found.groupBy("h").agg(F.first("line").alias("line")), "candidate-lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # lines whose lengths differ too much can't be similar enough
-    near = F.least(F.length("x"), F.length("y")) * F.lit(2) >= F.greatest(F.length("x"), F.length("y"))
-    both = both.where(near).select("a", "b", shingle_set("x").alias("s"), shingle_set("y").alias("t"))
-    both = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("i"))
-    same = written(both.where(F.col("i") * (1 + threshold) >= threshold * (F.col("m") + F.col("n")) - 1e-9).select("a", "b"), "same")
-    parts = connected_components(same.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    whole = placed.join(texts.withColumnRenamed("h", "rep"), "rep")
+    members = dealt_members(whole, "line", shingle_sets)
+    links = written(verified_links(members, threshold), "links")
+    same = verified_links(members, threshold, pairs=True)
+    parts = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     parts = parts.select(F.col("node").alias("h"), "component")
     about = written(known.select("h", "g", "n", "id").join(parts, "h", "left").where("n > 1 or component is not null"), "about")
     first = written(about.where("component is not null").groupBy("component").agg(F.min("id").alias("first")), "first")

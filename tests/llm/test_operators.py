@@ -356,3 +356,15 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in root if x in got} and {x for e in edges for x in e if e[0] != e[1]} == set(got)
+
+
+def test_lines_alike_but_not_like_their_leader_meet(spark):
+    rng = random.Random(11)
+    head = prose(rng, 30)
+    made = []
+    for _ in range(80):  # one bucket, and most of its pairs resemble no leader
+        tail = prose(rng, 14)
+        made += [f"{head} {tail}", f"{head} {tail} end"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.drop_similar_lines(df).collect()}
+    assert got == {i: i % 2 for i in range(160)}

@@ -1,18 +1,17 @@
 """Operator 7: fuzzy deduplication of lines by MinHash.
 
 Lines are parts of texts between line feeds; lines without a non-space are left alone.
-Equal lines collapse first, by 128 bits of hash. The signature of a line is a bottom-SKETCH
-MinHash over its character shingles of up to WIDE characters that start where a word starts;
-each pair of values in it is a band, so lines at a shingle similarity of 0.67 still meet
-with a probability of about 0.95, and at 0.8 with 0.99.
+Equal lines collapse first, by 128 bits of hash. The signature of a line is a MinHash over the
+same set that verification compares, all shingles of NARROW characters; jaccard.bands() picks
+rows and bands, so that lines at the threshold meet with a probability of at least RECALL.
 
 A bucket of lines is named by its smallest member, its leader; all members of a bucket meet,
 in blocks, as in jaccard.py: a pair is verified once, by exact Jaccard similarity (THRESHOLD)
 of the sets of all NARROW-character shingles. Distributed union-find joins verified pairs to
 components, of which the first line (by key, then line number) stays.
 
-Verification runs on numpy in Python, which is not native form: array functions of Spark
-would compare every pair of a bucket on its own. Shuffled are hashes and line numbers, the
+Signatures and verification run on numpy in Python, which is not native form: array functions
+of Spark would visit each shingle once per hash, and compare every pair of a bucket on its own. Shuffled are hashes and line numbers, the
 texts and shingle sets of candidate lines (a broadcast bitmap of fixed size picks them out
 during the scan), and texts of documents once, to take lines out. Nodes are 64-bit hashes;
 the few different lines that share one are left alone.
@@ -25,19 +24,16 @@ n_lines and n_dropped, which are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, written
-from tessera.llm.jaccard import _mix, bucket_groups, dealt_members, verified_links
+from tessera.llm.jaccard import _mix, bands, bucket_groups, dealt_members, verified_links
 
-WIDE, NARROW = 12, 5
-SKETCH = 4
-THRESHOLD = 0.8
+NARROW = 5
+THRESHOLD, RECALL, MOST_HASHES = 0.8, 0.99, 64
 BITS = 1 << 25  # of the bitmap that is broadcast: 4 MB
 
 
@@ -51,19 +47,6 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g")]
 
 
-def band_keys(line: str) -> Column:
-    """The bands of a line: one per pair of its smallest shingle hashes."""
-    shingles = F.regexp_extract_all(line, F.lit(r"(?s)(?<!\S)(?=(\S.{0,%d}))" % (WIDE - 1)), F.lit(1))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))), 1, SKETCH)
-
-    def bands(s: Column) -> Column:
-        at = [F.get(s, F.lit(i)) for i in range(SKETCH)]
-        pairs = [F.when(at[j].isNotNull(), F.xxhash64(at[i], at[j])) for i, j in combinations(range(SKETCH), 2)]
-        return F.when(F.size(s) == 1, s).otherwise(F.array_compact(F.array(*pairs)))
-
-    return F.get(F.transform(F.array(least), lambda x: bands(x)), F.lit(0))
-
-
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all NARROW-character shingles, line by line, and where each line begins.
 
@@ -95,6 +78,36 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def band_keys(lines: list[str], number: int, rows: int) -> np.ndarray:
+    """The bands of each line, as 64-bit hashes of `rows` MinHash values."""
+    factor = np.random.default_rng(7).integers(1, 1 << 31, number * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    out = np.zeros((len(lines), number), np.uint64)
+    for start in range(0, len(lines), 64):
+        hashes, begins = shingles(lines[start : start + 64])
+        values = (hashes >> np.uint64(32)).astype(np.uint32)
+        band = out[start : start + 64]
+        for k in range(number * rows):
+            least = np.minimum.reduceat(values * factor[k], begins).astype(np.uint64)
+            band[:, k // rows] = _mix(band[:, k // rows] * np.uint64(31) + least + np.uint64(k // rows))
+    return out.view(np.int64)
+
+
+def signed_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """id, h, g, bands of lines with key and no; no shuffle."""
+    number, rows = bands(threshold, RECALL, MOST_HASHES)
+    hashed = lines.select("key", "no", *_hashes(), "line")
+
+    def work(batches):
+        for batch in batches:
+            found = band_keys(batch.column(4).to_pylist(), number, rows)
+            found = pa.ListArray.from_arrays(np.arange(0, found.size + 1, number, dtype=np.int32), found.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=["key", "no", "h", "g", "bands"])
+
+    kind = lines.schema["key"].dataType.simpleString()
+    signed = hashed.mapInArrow(work, f"key {kind}, no int, h long, g long, bands array<long>")
+    return signed.select(F.struct("key", "no").alias("id"), "h", "g", "bands")
+
+
 def _bit(h: str) -> Column:
     return F.pmod(F.col(h), F.lit(BITS)) + 1
 
@@ -117,9 +130,7 @@ def only_marked(df: DataFrame, marks: DataFrame) -> DataFrame:
 def similar_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Lines that repeat or resemble others: (h, g, root) by hash, and the verified pairs of h (made when read)."""
     lines = split_lines(df, key, text)
-    place = F.struct("key", "no")
-    known = lines.select(place.alias("id"), *_hashes(), band_keys("line").alias("bands"))
-    known = known.groupBy("h").agg(
+    known = signed_lines(lines, threshold).groupBy("h").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("g").alias("g"), F.max("g").alias("_g"), F.first("bands").alias("bands")
     )
     # different lines with one hash are left alone

@@ -368,3 +368,32 @@ def test_lines_alike_but_not_like_their_leader_meet(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id long, text string")
     got = {r.doc_id: r.n_dropped for r in lines.drop_similar_lines(df).collect()}
     assert got == {i: i % 2 for i in range(160)}
+
+
+def test_short_spaceless_and_repetitive_lines(spark):
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(37))
+    url = "://www.example.org/a/long/path/of/one/page?q=1"
+    pairs = [
+        ("Terms of Service of this", "Terms of Service of this."), (chinese, "\u4e01" + chinese), ("http" + url, "https" + url),
+        ("ab" * 60, "ab" * 9), ("x = 1;" * 5 + "longer_name = 2", "x = 1;" * 30 + "longer_name = 2"), ("Hello there", "Hello there"),
+    ]
+    alone = ["ab", "abcd", "\u4e00", "zzzz", "zzzzz"]
+    texts = ["\n".join(p) for p in pairs] + alone
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.drop_similar_lines(df).collect()}
+    assert got == {i: int(i < len(pairs)) for i in range(len(texts))}
+
+
+def test_line_signatures_reach_the_recall():
+    rng = random.Random(12)
+    number, rows = lines.bands(lines.THRESHOLD, lines.RECALL, lines.MOST_HASHES)
+    assert 1 - (1 - lines.THRESHOLD**rows) ** number >= lines.RECALL
+    met = many = 0
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(20, 90)))
+        b = a[: len(a) - len(a) // 9]
+        x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            p, q = lines.band_keys([a, b], number, rows)
+            met, many = met + bool((p == q).any()), many + 1
+    assert many > 500 and met >= 0.985 * many

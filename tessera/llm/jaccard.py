@@ -154,7 +154,8 @@ def _verify(block: np.ndarray, leaders: list[list[int]], leader: int, sets: list
                 x = np.zeros((m, min(4096, int(code[-1]) + 1 - first)), np.float32)
                 x[of[lo:hi], code[lo:hi] - first] = 1
                 both += x @ x.T
-        a, b = np.where(np.triu(both * (1 + t) >= t * (size[:, None] + size[None, :]) - 1e-6, 1))
+        # counts below 2^24 are whole in float32, their products with the threshold are not
+        a, b = np.where(np.triu(both.astype(np.float64) * (1 + t) >= t * (size[:, None] + size[None, :]) - 1e-9, 1))
     if cross:
         due = block[a] != block[b]
         a, b = a[due], b[due]

@@ -397,3 +397,12 @@ def test_line_signatures_reach_the_recall():
             p, q = lines.band_keys([a, b], number, rows)
             met, many = met + bool((p == q).any()), many + 1
     assert many > 500 and met >= 0.985 * many
+
+
+def test_pairs_at_the_threshold_count_in_groups_of_any_size():
+    for k in (1, 2, 3, 7, 12, 50, 333, 1999):
+        a, b = np.arange(0, 5 * k - k // 2), np.concatenate([np.arange(0, 4 * k), np.arange(5 * k - k // 2, 5 * k)])
+        for others in (0, 5, 30):
+            sets = [a.astype(np.uint64), b.astype(np.uint64)] + [np.arange(10**6 * i, 10**6 * i + 9).astype(np.uint64) for i in range(1, others + 1)]
+            found = jaccard._verify(np.zeros(len(sets)), [[1]] * len(sets), 1, sets, False, 0.8)
+            assert [x.tolist() for x in found] == [[0], [1]]

@@ -3,8 +3,10 @@
 Per text, built-in functions count words and what speaks against them. Texts that fail the
 base rules go. Of the rest, four ratios are sketched (KLL) per language and source by one
 grouped aggregation; sketches of sources merge into one per language and one of all, which
-stand in for groups of under MIN_ROWS rows. A fence lies WIDE interquartile ranges, and at
-least a feature's resolution, beyond the quartiles; a text outside any fence isn't kept.
+stand in for groups of under MIN_ROWS rows. A fence lies WIDE spreads of the group beyond its
+quartile: the interquartile range, or the way from the quartile to the tail decile where that
+is longer. Only where both are zero, a feature's resolution stands in. A text outside any
+fence isn't kept.
 The fences are joined back by language and source, null matching null.
 
 Features are written once (a few numbers a row) and read twice; the sketches are what is
@@ -29,12 +31,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_ROWS = 100
 SKETCH_K = 400
 WIDE = 6.0
-#: ratio: (numerator, denominator, least distance of a fence, fence below too)
+#: ratio: (numerator, denominator, distance of a fence where the spread is zero, fence below too)
 RATIOS = {
-    "mean_word": ("word_chars", "n_words", 2.0, True),
-    "symbols_a_word": ("n_symbols", "n_words", 1.0, False),
-    "dup_lines_a_line": ("n_dup_lines", "n_lines", 0.5, False),
-    "repeats_a_word": ("n_repeat_words", "n_words", 0.3, False),
+    "mean_word": ("word_chars", "n_words", 0.25, True),
+    "symbols_a_word": ("n_symbols", "n_words", 0.1, False),
+    "dup_lines_a_line": ("n_dup_lines", "n_lines", 0.1, False),
+    "repeats_a_word": ("n_repeat_words", "n_words", 0.02, False),
 }
 
 
@@ -119,9 +121,11 @@ def fences(measured: DataFrame, by: list[str]) -> DataFrame:
     for n in names:
         _, _, least, below = RATIOS[n]
         s = F.when(F.col("_n") >= MIN_ROWS, F.col(n)).when(F.col("_n1") >= MIN_ROWS, F.col(f"{n}_1")).otherwise(F.col(f"{n}_0"))
-        low, high = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.25, 0.75))
-        wide = F.greatest((high - low) * WIDE, F.lit(least))
-        out += [(high + wide).alias(f"{n}_high"), ((low - wide) if below else F.lit(float("-inf"))).alias(f"{n}_low")]
+        at = lambda q: F.kll_sketch_get_quantile_double(s, F.lit(q))  # noqa: B023, E731
+        wide = lambda tail: F.when(tail > 0, tail * WIDE).otherwise(F.lit(least))  # noqa: B023, E731
+        low, high = at(0.25), at(0.75)
+        up, down = (wide(F.greatest(high - low, x)) for x in (at(0.9) - high, low - at(0.1)))
+        out += [(high + up).alias(f"{n}_high"), ((low - down) if below else F.lit(float("-inf"))).alias(f"{n}_low")]
     return written(joined.select(*out), "fences")
 
 

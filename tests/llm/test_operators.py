@@ -406,3 +406,23 @@ def test_pairs_at_the_threshold_count_in_groups_of_any_size():
             sets = [a.astype(np.uint64), b.astype(np.uint64)] + [np.arange(10**6 * i, 10**6 * i + 9).astype(np.uint64) for i in range(1, others + 1)]
             found = jaccard._verify(np.zeros(len(sets)), [[1]] * len(sets), 1, sets, False, 0.8)
             assert [x.tolist() for x in found] == [[0], [1]]
+
+
+def test_quality_fences_follow_the_spread_of_their_group(spark):
+    rng = random.Random(13)
+
+    def text(symbols=0, word="", dup=0, repeats=0):
+        own = [[rng.choice(WORDS) + word + str(rng.randrange(10**4)) for _ in range(10)] for _ in range(10)]
+        some = own + own[:1] * dup + [["one", "two", "three"] * repeats]
+        return "\n".join(" ".join(x) for x in some if x) + " #" * symbols
+
+    def wide(i):  # symbols vary in this group
+        return text(symbols=i % 40)
+
+    bad = {"symbols": text(symbols=30), "word": text(word="abcdefgh"), "dup": text(dup=3), "repeats": text(repeats=6)}
+    rows = [(i, text(), "en", "calm") for i in range(150)] + [(200 + i, wide(i), "en", "wide") for i in range(150)]
+    rows += [(400 + k, t, "en", "calm") for k, t in enumerate(bad.values())] + [(500, bad["symbols"], "en", "wide")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert [got[400 + k].kept for k in range(4)] == [False] * 4  # clear outliers of a calm group
+    assert got[500].kept and all(got[i].kept for i in [*range(150), *range(200, 350)])

@@ -1,12 +1,14 @@
 """Operator 8: format-preserving pseudonyms for personal data.
 
 Found and validated: e-mail addresses, IPv4 addresses (each part up to 255), telephone
-numbers, payment-card numbers (13 to 19 digits in a usual grouping), social-security-style
-numbers, international bank account numbers (by length), and calendar dates (the day must exist).
+numbers, payment-card numbers (13 to 19 digits in a usual grouping, Luhn check), social-security
+numbers (area, group and serial in use), international bank account numbers (mod 97), and
+calendar dates (the day must exist; read day-first, or month-first where only that gives a day).
 Their digits, or for dates the day number in 1900..2099, are permuted by a keyed Feistel
 network of ROUNDS rounds, so that the format stays, equal values get equal pseudonyms
-wherever they stand, and different values different ones. Card numbers keep what they are
-under the Luhn check; dates walk the cycle until they fall into the range again.
+wherever they stand, and different values different ones. Cards and bank accounts get new
+check digits; dates walk the cycle until they fall into the range, and form, again. Digits that
+look like a card but fail its check stay as they are, and no other kind takes parts of them.
 
 Letters of e-mail addresses are permuted in the same way as base-26 digits.
 
@@ -34,13 +36,17 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
+    # without separators, in other groups after a country code, or with the area in brackets only
+    r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{1,4}\)?){2,7}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\([0-9]{2,4}\)[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 KINDS = list(PATTERNS)
+NONE = -1
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 
 
@@ -170,14 +176,20 @@ def _iso(value: Column) -> Column:
 
 
 def _day(value: Column) -> Column:
+    parts = F.regexp_replace(value, "[./]", "-")
     return F.when(_iso(value), F.try_to_date(value, "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.regexp_replace(value, "[./]", "-"), "dd-MM-yyyy")
+        F.coalesce(F.try_to_date(parts, "dd-MM-yyyy"), F.when(_month_first(value), F.try_to_date(parts, "MM-dd-yyyy")))
     )
 
 
+def _month_first(value: Column) -> Column:
+    """A date with slashes that has no day when read day-first."""
+    return (F.substring(value, 3, 1) == "/") & (F.substring(value, 4, 2) > "12")
+
+
 def date(value: Column, key: str) -> Column:
     """The day number within 1900..2099 is permuted; cycle walking stays inside."""
-    iso, day = _iso(value), _day(value)
+    iso, day, turned = _iso(value), _day(value), _month_first(value)
     count = 73049  # days from FIRST_DAY to LAST_DAY
     bits = 17
 
@@ -187,14 +199,17 @@ def date(value: Column, key: str) -> Column:
         return _let(out, lambda o: o["a"] * 256 + o["b"])
 
     walked = F.aggregate(
-        F.array(*[F.lit(i) for i in range(16)]),
+        F.sequence(F.lit(1), F.when(turned, F.lit(64)).otherwise(F.lit(16))),
         once(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")),
-        lambda acc, i: F.when(acc < count, acc).otherwise(once(acc)),
+        lambda acc, i: F.when(
+            (acc < count) & (~turned | (F.dayofmonth(F.date_add(F.lit(FIRST_DAY).cast("date"), acc.cast("int"))) > 12)), acc
+        ).otherwise(once(acc)),
     )
     # (2^17 / 73049 makes 16 more walks enough but for one value in 100 thousand, which is masked)
     moved = F.when(walked < count, F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")))
     sep = F.substring(value, 3, 1)
-    shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(
+    # month-first dates stay among the days that only month-first reading gives
+    shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(turned, F.date_format(moved, "MM/dd/yyyy")).otherwise(
         F.concat_ws("", F.date_format(moved, "dd"), sep, F.date_format(moved, "MM"), sep, F.date_format(moved, "yyyy"))
     )
     return F.when(day.isNull(), value).otherwise(F.when(moved.isNull(), F.regexp_replace(value, "[0-9]", "0")).otherwise(shown))
@@ -231,9 +246,27 @@ def email(value: Column, key: str) -> Column:
     return F.concat(_put_back(moved, permute_digits(_digits(head), key)), tail)
 
 
+def mod97(account: Column) -> Column:
+    """A bank account number without spaces, its first four characters last, modulo 97."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(
+        F.filter(F.split(turned, ""), lambda c: c != ""),
+        F.lit(0),
+        lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97,
+    )
+
+
 def iban(value: Column, key: str) -> Column:
-    """Letters stay; all digits are permuted."""
-    return F.concat(F.substring(value, 1, 2), numbers(F.substring(value, F.lit(3), F.length(value)), key))
+    """Letters stay; all digits but the check digits are permuted, and those made anew."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    moved = numbers(F.substring(value, F.lit(5), F.length(value)), f"{key}|2")
+
+    def checked(rest: Column) -> Column:
+        start = F.concat(F.substring(bare, 1, 2), F.lit("00"))
+        check = F.lit(98) - mod97(F.concat(start, F.replace(rest, F.lit(" "), F.lit(""))))
+        return F.concat(F.substring(value, 1, 2), F.lpad(check.cast("string"), 2, "0"), rest)
+
+    return _let(moved, checked)
 
 
 HOW = {"email": email, "iban": iban, "card": card, "date": date, "ip": ip, "ssn": numbers, "phone": numbers}
@@ -244,18 +277,24 @@ def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: p.cast("int") <= 255)
     if kind == "card":
-        return F.length(d).between(13, 19)
+        return F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+    if kind == "ssn":
+        return ~value.rlike("^(000|666|9..)|-00-|-0000$")
     if kind == "date":
         return _day(value).isNotNull()
     if kind == "phone":
         return F.length(d).between(7, 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(value, " ", "")).between(15, 34)
+        bare = F.replace(value, F.lit(" "), F.lit(""))
+        return F.length(bare).between(15, 34) & bare.substr(3, 2).between("02", "98") & (mod97(bare) == 1)
     return F.lit(True)
 
 
 def _valid_spans(text: Column, k: int, kind: str) -> Column:
-    return F.filter(find_spans(text, PATTERNS[kind], k), lambda s: valid(kind, s["value"]))
+    spans = find_spans(text, PATTERNS[kind], k)
+    if kind == "card":  # those that fail the check stay as spans of no kind, for no other to take
+        return F.transform(spans, lambda s: s.withField("kind", F.when(valid(kind, s["value"]), s["kind"]).otherwise(NONE)))
+    return F.filter(spans, lambda s: valid(kind, s["value"]))
 
 
 def _beside(found: Column, own: Column) -> Column:
@@ -271,7 +310,7 @@ def find_personal(text: Column) -> Column:
     found = F.array().cast(SPAN)
     for k, kind in enumerate(KINDS):
         found = _let(found, partial(_beside, own=_valid_spans(text, k, kind)))
-    return F.array_sort(found)
+    return F.array_sort(F.filter(found, lambda s: s["kind"] != NONE))
 
 
 def pseudonym(span: Column, key: str) -> Column:

@@ -426,3 +426,19 @@ def test_quality_fences_follow_the_spread_of_their_group(spark):
     assert not any(got[i].base_failed for i in got)
     assert [got[400 + k].kept for k in range(4)] == [False] * 4  # clear outliers of a calm group
     assert got[500].kept and all(got[i].kept for i in [*range(150), *range(200, 350)])
+
+
+def test_personal_values_are_validated_and_decoys_stay(spark):
+    mod = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    decoys = ["4417744280351548", "4111-1111-1111-1112", "1234567890123", "3782-822463-10006", "DE88 3704 0044 0532 0130 00", "000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000", "13/32/2023"]
+    real = ["4417744280351547", "3782-822463-10005", "3782 822463 10005", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "123-45-6789", "+14155552671", "(415)555-2671", "+33 1 23 45 67 89", "12/25/2023", "25/12/2023"]
+    df = spark.createDataFrame([(i, f"see {v}; end") for i, v in enumerate(decoys + real)], "id int, text string")
+    got = {r.id: r.text for r in pii.pseudonymise(df, secret="k").collect()}
+    assert [got[i] for i in range(len(decoys))] == [f"see {v}; end" for v in decoys]
+    for i, v in enumerate(real, len(decoys)):
+        assert v not in got[i] and re.sub("[0-9]", "9", got[i]) == re.sub("[0-9]", "9", f"see {v}; end")
+        if v[:2] in ("DE", "GB"):
+            assert mod(got[i][4:-5].replace(" ", "")) == 1
+    month_first = spark.range(0, 9000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    moved = month_first.select(pii.date(F.date_format("d", "MM/dd/yyyy"), "q").alias("p"))
+    assert moved.where("p rlike '^(0[1-9]|1[0-2])/(1[3-9]|[23][0-9])/'").distinct().count() == month_first.count()

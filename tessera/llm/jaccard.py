@@ -189,10 +189,10 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def verified_links(members: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
+def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs: bool = False) -> DataFrame:
     """(node, links, root) per text and task; members: leader, bi, bj, rep, block, leaders, grams.
 
-    With pairs the verified pairs (a, b) themselves, of which a group has quadratically many.
+    grams are sorted sets as bytes, or with make_sets (texts to sets) the texts. With pairs the verified pairs (a, b) themselves, of which a group has quadratically many.
     """
     names = ["a", "b"] if pairs else ["node", "links", "root"]
 
@@ -207,7 +207,7 @@ def verified_links(members: DataFrame, threshold: float, pairs: bool = False) ->
                 np.array([r[1] for r in rows]),
                 [r[2] for r in rows],
                 now[0],
-                [np.frombuffer(r[3], np.uint64) for r in rows],
+                make_sets([r[3] for r in rows]) if make_sets else [np.frombuffer(r[3], np.uint64) for r in rows],
                 now[1] != now[2],
                 threshold,
             )
@@ -252,17 +252,8 @@ def bucket_groups(spread: DataFrame, buckets: DataFrame) -> DataFrame:
     return written(placed, "members")
 
 
-def dealt_members(whole: DataFrame, text: str, make_sets) -> DataFrame:
-    """Members for verified_links of whole (rep, groups, text); make_sets: texts to sorted gram sets."""
-
-    def make(batches):
-        for batch in batches:
-            sets = [s.tobytes() for s in make_sets(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "groups", "grams"]
-            )
-
-    sets = whole.select("rep", "groups", text).mapInArrow(make, "rep long, groups array<struct<leader:long,nb:int>>, grams binary")
+def dealt_members(sets: DataFrame) -> DataFrame:
+    """Members for verified_links, a row for each pair of blocks they are in; sets: rep, groups, grams."""
     sets = sets.select("rep", "grams", F.col("groups.leader").alias("leaders"), F.explode("groups").alias("g"))
     block = F.pmod(F.xxhash64("rep"), F.col("g.nb").cast("long")).cast("int")
     sets = sets.select("rep", "grams", "leaders", F.col("g.leader").alias("leader"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
@@ -288,8 +279,17 @@ def similar_groups(
     buckets = spread.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = written(buckets.drop("m"), "buckets")
     placed = bucket_groups(spread, buckets)
+
+    def make(batches):
+        for batch in batches:
+            sets = [grams(t, n).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "groups", "grams"]
+            )
+
     whole = placed.join(df.select(F.col(key).alias("rep"), text), "rep")
-    members = dealt_members(whole, text, lambda texts: [grams(t, n) for t in texts])
+    sets = whole.select("rep", "groups", text).mapInArrow(make, "rep long, groups array<struct<leader:long,nb:int>>, grams binary")
+    members = dealt_members(sets)
     links = written(verified_links(members, threshold), "links")
 
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))

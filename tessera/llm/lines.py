@@ -12,7 +12,7 @@ components, of which the first line (by key, then line number) stays.
 
 Signatures and verification run on numpy in Python, which is not native form: array functions
 of Spark would visit each shingle once per hash, and compare every pair of a bucket on its own. Shuffled are hashes and line numbers, the
-texts and shingle sets of candidate lines (a broadcast bitmap of fixed size picks them out
+texts of candidate lines (a broadcast bitmap of fixed size picks them out
 during the scan), and texts of documents once, to take lines out. Nodes are 64-bit hashes;
 the few different lines that share one are left alone.
 
@@ -142,10 +142,10 @@ def similar_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     placed = bucket_groups(shared, buckets)
     found = only_marked(lines.select("line", F.xxhash64("line").alias("h")), placed.select(F.col("rep").alias("h")))
     texts = written(found.groupBy("h").agg(F.first("line").alias("line")), "candidate-lines")
-    whole = placed.join(texts.withColumnRenamed("h", "rep"), "rep")
-    members = dealt_members(whole, "line", shingle_sets)
-    links = written(verified_links(members, threshold), "links")
-    same = verified_links(members, threshold, pairs=True)
+    # lines are dealt out as texts: their shingle sets would take eight times the space
+    members = dealt_members(placed.join(texts.select(F.col("h").alias("rep"), F.col("line").alias("grams")), "rep"))
+    links = written(verified_links(members, threshold, shingle_sets), "links")
+    same = verified_links(members, threshold, shingle_sets, pairs=True)
     parts = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     parts = parts.select(F.col("node").alias("h"), "component")
     about = written(known.select("h", "g", "n", "id").join(parts, "h", "left").where("n > 1 or component is not null"), "about")

@@ -1,10 +1,12 @@
 """Operator 3: secrets in texts, by fixed patterns and by character Markov models.
 
 Three patterns give the base spans. Besides them, every run of 16 or more characters of
-the usual secret alphabets is scored by two first-order Markov models over characters, one
-of random strings and one of ordinary identifiers: the sum of log-likelihood ratios of its
-transitions. A run that scores at least THRESHOLD in all and RATE a character, and lies
-in no base span, is a span of the kind markov.
+the usual secret alphabets outside base spans is scored by two first-order Markov models over
+characters, one of random strings and one of ordinary identifiers: the sum of log-likelihood
+ratios of its transitions. A run that scores at least THRESHOLD in all and RATE a character
+is a span of the kind markov. So is, in other runs, every stretch that does: a stretch begins
+where the sum turns positive and ends at its peak, once the sum is used up or THRESHOLD below
+the peak; it is widened to the / _ - = around it.
 
 The models are transition counts with add-one smoothing, trained from labelled samples
 (value, label 1 random / 0 ordinary) by one grouped aggregation; 2 x 67 x 67 numbers at
@@ -37,6 +39,7 @@ HEX_24 = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the matches of [0-9a-f]+ that are long
 KINDS = ["assign", "access", "hex", "markov"]
 
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 TRAIN_DOCS = 400
 RANDOM = 4000
@@ -111,6 +114,66 @@ def score(value: Column, ratios: list[float]) -> Column:
     )
 
 
+def stretches(run: Column, ratios: list[float]) -> Column:
+    """Spans (as in find_spans, of kind 3) of a run's random stretches, or of the whole run."""
+    n = len(ALPHABET)
+    table = F.lit(ratios)
+    where = F.transform(F.split(run["value"], ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(
+        F.lit(-1).alias("last"), F.lit(-1).alias("i"), F.lit(0.0).alias("all"), F.lit(0.0).alias("sum"),
+        F.lit(0).alias("a"), F.lit(0.0).alias("peak"), F.lit(0).alias("b"), none.alias("found"),
+    )
+
+    def closed(acc: Column) -> Column:
+        good = (acc["peak"] >= THRESHOLD) & (acc["peak"] >= RATE * (acc["b"] - acc["a"]))
+        return F.when(good, F.array_append(acc["found"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))).otherwise(acc["found"])
+
+    def step(acc: Column, k: Column) -> Column:
+        i = acc["i"] + 1
+        r = F.when((acc["last"] < 0) | (k < 0), F.lit(0.0)).otherwise(F.get(table, acc["last"] * n + k)).cast("double")
+        total = acc["sum"] + r
+        over = (total <= 0) | (acc["peak"] - total > THRESHOLD)
+        top = ~over & (total > acc["peak"])
+        return F.struct(
+            k.alias("last"), i.alias("i"), (acc["all"] + r).alias("all"), F.when(over, F.lit(0.0)).otherwise(total).alias("sum"),
+            F.when(over, i).otherwise(acc["a"]).alias("a"),
+            F.when(over, F.lit(0.0)).when(top, total).otherwise(acc["peak"]).alias("peak"),
+            F.when(over, i).when(top, i + 1).otherwise(acc["b"]).alias("b"),
+            F.when(over, closed(acc)).otherwise(acc["found"]).alias("found"),
+        )
+
+    size = run["end"] - run["start"]
+
+    def done(acc: Column) -> Column:
+        whole = (acc["all"] >= THRESHOLD) & (acc["all"] >= RATE * size)
+        return F.when(whole, F.array(F.struct(F.lit(0).alias("a"), size.alias("b")))).otherwise(closed(acc))
+
+    def widened(x: Column) -> Column:
+        before = F.regexp_extract(F.substring(run["value"], F.lit(1), x["a"]), r"[^/_=-]*$", 0)
+        after = F.regexp_extract(F.substring(run["value"], x["b"] + 1, size), r"^[^/_=-]*", 0)
+        a, b = x["a"] - F.length(before), x["b"] + F.length(after)
+        value = F.substring(run["value"], a + 1, b - a)
+        return F.struct((run["start"] + a).alias("start"), F.lit(3).alias("kind"), (run["start"] + b).alias("end"), value.alias("value"))
+
+    found = F.array_distinct(F.transform(F.aggregate(where, start, step, done), widened))
+    # digits alone are numbers, not secrets
+    return F.filter(found, lambda s: s["value"].rlike("[A-Za-z]") & (s["end"] - s["start"] >= LEAST))
+
+
+def without(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of spans (sorted by start)."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the base kinds by start, then kind."""
     assign = F.filter(
@@ -129,18 +192,10 @@ def find_secrets(df: DataFrame, text: str, ratios: list[float], base: str = "bas
     t, runs = "__tessera_text", "__tessera_runs"
     out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(base, F.array_sort(base_spans(F.col(t))))
-    found = F.filter(
-        find_spans(F.col(t), RUN, 3),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    out = out.withColumn(runs, found)
-
-    def secret(s: Column) -> Column:
-        llr = score(s["value"], ratios)
-        # digits alone are numbers, not secrets
-        return s["value"].rlike("[A-Za-z]") & (llr >= THRESHOLD) & (llr >= RATE * (s["end"] - s["start"]))
-
-    return out.withColumn(spans, F.array_sort(F.concat(base, F.filter(runs, secret)))).drop(runs, t)
+    out = out.withColumn(t, without(F.col(t), F.col(base)))
+    out = out.withColumn(runs, find_spans(F.col(t), RUN, 3))
+    random = F.flatten(F.transform(runs, lambda s: stretches(s, ratios)))
+    return out.withColumn(spans, F.array_sort(F.concat(base, random))).drop(runs, t)
 
 
 def model(df: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:

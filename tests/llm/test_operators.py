@@ -442,3 +442,21 @@ def test_personal_values_are_validated_and_decoys_stay(spark):
     month_first = spark.range(0, 9000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
     moved = month_first.select(pii.date(F.date_format("d", "MM/dd/yyyy"), "q").alias("p"))
     assert moved.where("p rlike '^(0[1-9]|1[0-2])/(1[3-9]|[23][0-9])/'").distinct().count() == month_first.count()
+
+
+def test_secrets_in_long_paths_and_beside_base_spans(spark, docs):
+    ratios = secret.model(docs)
+    rng = random.Random(14)
+    rows, at = [], {}
+    for i in range(120):
+        token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+        path = "".join(rng.choice(WORDS) + rng.choice("/_-") for _ in range(rng.choice((4, 8, 20))))
+        text = f"https://example.org/{path}{token}/{path}end"
+        rows.append((i, text))
+        at[i] = (text.index(token), text.index(token) + 32)
+    hexes = "a1" * 12
+    rows += [(900, f"{hexes}_Zk3vQ9xT7bLmW2pRyH5cJd8s/alpha"), (901, "/".join(WORDS * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret.find_secrets(df, "text", ratios).collect()}
+    assert sum(any(a <= x and y <= b for a, b in got[i]) for i, (x, y) in at.items()) >= 0.95 * len(at)
+    assert any(a <= 25 and b >= 49 for a, b in got[900]) and got[901] == []

@@ -60,12 +60,14 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.pmod(F.xxhash64(F.col(key)), F.lit(top)), F.col(key)).limit(rows)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges (src, dst) of any ordered type: (node, component).
 
     component is the smallest node of the component. Each round contracts: every node
-    hooks onto its smallest neighbour, labels are shortened by pointer jumping, and edges
-    are rewritten between labels until none is left. Every round is a written table, so a
+    hooks onto its smallest neighbour, labels are shortened by pointer jumping until the trees
+    are flat, and edges are rewritten between labels until none is left. A root that no node
+    hooks onto has a smaller neighbour in the next round, so two rounds at least halve the
+    nodes: rounds, and jumps in a round, are logarithmic. Every round is a written table, so a
     lost executor costs one round at most. Nodes without edges don't appear.
     """
     live = written(
@@ -75,19 +77,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         "edges",
     )
     labels = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         both = live.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(
             live.select(F.col("a").alias("node"), F.col("a").alias("to"))
         )
         # hooking: parent <= node, so no cycle can arise
         hook = written(both.groupBy("node").agg(F.min("to").alias("root")), "hook")
-        for _ in range(2):  # pointer jumping
+        while True:  # pointer jumping
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            hook = written(
-                hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "hook"
-            )
+            jumped = hook.join(up, "root").select("node", F.col("top").alias("root"), F.expr("top <> root").alias("moved"))
+            jumped = written(jumped, "hook")
+            hook = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
         if labels is None:
             labels = hook
         else:
@@ -106,8 +108,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .distinct(),
             "edges",
         )
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("root").alias("component"))

@@ -460,3 +460,9 @@ def test_secrets_in_long_paths_and_beside_base_spans(spark, docs):
     got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret.find_secrets(df, "text", ratios).collect()}
     assert sum(any(a <= x and y <= b for a, b in got[i]) for i, (x, y) in at.items()) >= 0.95 * len(at)
     assert any(a <= 25 and b >= 49 for a, b in got[900]) and got[901] == []
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.range(9_999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(chain)
+    assert got.count() == 10_000 and got.where("component <> 0").isEmpty()

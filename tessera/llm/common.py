@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used.
-    The folder is removed when the driver ends.
+    Only where the setting is absent and all runs on one machine (tests) a temporary folder
+    is used. The folder is removed when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         base = _OWN[0]
@@ -45,7 +48,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() gave and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "written_path", None):
+            _remove(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark find the shuffles that nothing refers to any more, and remove their files.
+
+    It does so when the driver collects garbage, which else may be half an hour away.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -82,25 +103,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
             live.select(F.col("a").alias("node"), F.col("a").alias("to"))
         )
         # hooking: parent <= node, so no cycle can arise
-        hook = written(both.groupBy("node").agg(F.min("to").alias("root")), "hook")
+        table = hook = written(both.groupBy("node").agg(F.min("to").alias("root")), "hook")
         while True:  # pointer jumping
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
             jumped = hook.join(up, "root").select("node", F.col("top").alias("root"), F.expr("top <> root").alias("moved"))
             jumped = written(jumped, "hook")
-            hook = jumped.drop("moved")
+            dropped(table)
+            table, hook = jumped, jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
+        up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
         if labels is None:
-            labels = hook
+            before, labels = None, written(hook, "labels")
         else:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = written(
+            before, labels = labels, written(
                 labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")),
                 "labels",
             )
         la = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         lb = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = written(
+        last, live = live, written(
             live.join(la, "a")
             .join(lb, "b")
             .where("ra <> rb")
@@ -108,6 +130,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+        dropped(last, table, *([before] if before is not None else []))
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels.select("node", F.col("root").alias("component"))
+    out = labels.select("node", F.col("root").alias("component"))
+    out.written_path = labels.written_path
+    return out

@@ -264,6 +264,22 @@ def test_language(spark, empty):
     assert language.identify_documents(empty).count() == 0 and language.identify_pages(pages.limit(0), docs).count() == 0
 
 
+def line_components(distinct):
+    """The component of each line, and all similar pairs, by brute force."""
+    sets = [(x, {x[k : k + 5] for k in range(len(x) - 4)} or {x}) for x in distinct]
+    want = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[i + 1 :] if len(s & t) >= 0.8 * len(s | t)]
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        root[find(b)] = find(a)
+    return {x: find(x) for x in distinct}, want
+
+
 def test_lines_find_most_of_what_brute_force_finds(spark, docs, empty):
     rng = random.Random(4)
     made = []
@@ -274,18 +290,23 @@ def test_lines_find_most_of_what_brute_force_finds(spark, docs, empty):
         w[rng.randrange(len(w))] = "other"
         made.append((1001 + 2 * i, " ".join(w) + "\n" + prose(rng, 20)))
     df = docs.select("doc_id", "text", "n_lines").where("doc_id < 9").unionByName(spark.createDataFrame([(i, t, 0) for i, t in made], "doc_id long, text string, n_lines long"))
-    _, same = lines.similar_lines(df, "doc_id", "text")
-    hashes = lines.split_lines(df, "doc_id", "text").select("line", F.xxhash64("line").alias("h")).distinct()
-    line_of = {r.h: r.line for r in hashes.collect()}
-    got = {frozenset((line_of[r.a], line_of[r.b])) for r in same.collect()}
+    texts = {r.doc_id: (r.text or "").split("\n") for r in df.where("doc_id is not null").collect()}
     first = {}
-    for r in sorted(df.where("doc_id is not null").collect(), key=lambda r: r.doc_id):
-        for k, x in enumerate((r.text or "").split("\n")):
+    for i in sorted(texts):
+        for k, x in enumerate(texts[i]):
             if x.strip():
-                first.setdefault(x, (r.doc_id, k))
-    sets = [(x, {x[k : k + 5] for k in range(len(x) - 4)} or {x}) for x in first]
-    want = {frozenset((a, b)) for i, (a, s) in enumerate(sets) for b, t in sets[i + 1 :] if len(s & t) >= 0.8 * len(s | t)}
-    assert got <= want and len(got) >= 0.97 * len(want)
+                first.setdefault(x, (i, k))
+    group, want = line_components(list(first))
+    assert len(want) > 100
+    _, about = lines.line_groups(df, "doc_id", "text")
+    hashes = lines.split_lines(df, "doc_id", "text").select("line", *lines._hashes()).distinct()
+    got = {r.line: r.component for r in hashes.join(about, ["h", "g"]).where("component is not null").collect()}
+    members = defaultdict(set)
+    for x, c in got.items():
+        members[c].add(group[x])
+    assert all(len(g) == 1 for g in members.values())  # what hangs together here does so in truth
+    met = sum(a in got and got.get(a) == got.get(b) for a, b in want)
+    assert met >= 0.97 * len(want)
     out = {r.doc_id: r for r in lines.drop_similar_lines(df).collect()}
     assert out[0].text is None and out[1].text == "" and out[4].n_dropped == 0 and out[5].text == "" and out[5].n_dropped == 1
     assert lines.drop_similar_lines(empty).count() == 0
@@ -386,17 +407,37 @@ def test_short_spaceless_and_repetitive_lines(spark):
 
 def test_line_signatures_reach_the_recall():
     rng = random.Random(12)
-    number, rows = lines.bands(lines.THRESHOLD, lines.RECALL, lines.MOST_HASHES)
-    assert 1 - (1 - lines.THRESHOLD**rows) ** number >= lines.RECALL
-    met = many = 0
-    for _ in range(1500):
-        a = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(20, 90)))
-        b = a[: len(a) - len(a) // 9]
-        x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
-        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
-            p, q = lines.band_keys([a, b], number, rows)
-            met, many = met + bool((p == q).any()), many + 1
-    assert many > 500 and met >= 0.985 * many
+    assert 1 - (1 - lines.THRESHOLD**lines.ROWS) ** lines.CLASSES >= 0.99
+    for low, high in ((8, 45), (30, 90), (90, 350), (150, 350), (350, 900)):  # around the sizes where ways of signing change
+        met = many = 0
+        for _ in range(700):
+            a = "".join(rng.choice("abcdefghijklmnop\u00e9\U0001f600") for _ in range(rng.randint(low, high)))
+            b = a[: len(a) - len(a) // 9]
+            x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
+            if 0.8 <= len(x & y) / max(1, len(x | y)) <= 0.9:
+                band, of = lines.band_keys([a, b])
+                met, many = met + bool(set(band[of == 0].tolist()) & set(band[of == 1].tolist())), many + 1
+        assert many > 200 and met >= 0.965 * many
+    band, of = lines.band_keys(["=" * 20, "=" * 80, "ab", "ab\0\0\0"])
+    own = [set(band[of == i].tolist()) for i in range(4)]
+    assert own[0] == own[1] and own[2] != own[3] and all(own)
+
+
+def test_lines_in_groups_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    made = [head + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(5, 60))) for _ in range(120)]
+    made += [head[:250] + "".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(40)]
+    group, want = line_components(made)
+    assert len(set(group.values())) > 10
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id long, text string")
+    for block in (lines.BLOCK, 3000):  # one block, and a dozen
+        monkeypatch.setattr(lines, "BLOCK", block)
+        kept = {r.doc_id for r in lines.drop_similar_lines(df).where("n_dropped = 0").collect()}
+        best = {}
+        for i, x in enumerate(made):
+            best.setdefault(group[x], i)
+        assert len(kept ^ set(best.values())) <= 2
 
 
 def test_pairs_at_the_threshold_count_in_groups_of_any_size():

@@ -8,9 +8,11 @@ recall at the threshold.
 Band hashes are shuffled, never pairs: a bucket is named by its smallest member, its
 leader, and a representative joins the groups of its leaders. Two texts that share any
 bucket share its leader, so no candidate pair is lost, however large a bucket is. A group
-of more than BLOCK members is dealt out by blocks: one task compares two blocks. There
-every pair that is due (once, under the smallest leader that both have) is verified on the
-full n-gram sets, which are made anew from the whole texts of group members alone. Tasks
+is dealt out by blocks of about BLOCK grams, or BLOCK_TEXTS short texts: one task compares two
+blocks, so its memory is bounded by bytes. There every pair that is due (once, under the smallest leader that both have) is verified on the
+full n-gram sets, which are made anew from the whole texts of group members alone. A number
+of links per text needs every pair of a group, so what is shuffled for a group of m members
+is m * m / block; union-find alone would need less, but would not count links. Tasks
 return, per text, the number of verified links and the smallest text it hangs together
 with: rows grow with texts, not pairs. Distributed union-find joins those to classes.
 
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, written
+from tessera.llm.common import connected_components, dropped, sweep, written
 
-BLOCK = 256
+BLOCK, BLOCK_TEXTS = 1 << 18, 1024
 MOST_HASHES = 160
 _WORDS: dict[str, int] = {}
 _MEMO = 300_000
@@ -105,7 +107,7 @@ def _signatures(sets: list[np.ndarray], n: int, rows: int) -> list[list[int]]:
 
 
 def signatures(df: DataFrame, key: str, text: str, n: int, number: int, rows: int) -> DataFrame:
-    """key, digest of the n-gram set, band hashes; no shuffle."""
+    """key, digest of the n-gram set, band hashes, size of the set; no shuffle."""
 
     def work(batches):
         for batch in batches:
@@ -117,11 +119,12 @@ def signatures(df: DataFrame, key: str, text: str, n: int, number: int, rows: in
                         part.column(0),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array(_signatures(sets, number, rows), pa.list_(pa.int64())),
+                        pa.array([len(s) for s in sets], pa.int64()),
                     ],
-                    names=[key, "digest", "bands"],
+                    names=[key, "digest", "bands", "size"],
                 )
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` long, digest binary, bands array<long>")
+    return df.select(key, text).mapInArrow(work, f"`{key}` long, digest binary, bands array<long>, size long")
 
 
 def _verify(block: np.ndarray, leaders: list[list[int]], leader: int, sets: list[np.ndarray], cross: bool, t: float):
@@ -189,12 +192,12 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs: bool = False) -> DataFrame:
+def verified_links(members: DataFrame, threshold: float, make_sets=None) -> DataFrame:
     """(node, links, root) per text and task; members: leader, bi, bj, rep, block, leaders, grams.
 
-    grams are sorted sets as bytes, or with make_sets (texts to sets) the texts. With pairs the verified pairs (a, b) themselves, of which a group has quadratically many.
+    grams are sorted sets as bytes, or with make_sets (lists of texts to sets) the texts.
     """
-    names = ["a", "b"] if pairs else ["node", "links", "root"]
+    names = ["node", "links", "root"]
 
     def work(batches):
         held, now = [], None
@@ -207,12 +210,10 @@ def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs:
                 np.array([r[1] for r in rows]),
                 [r[2] for r in rows],
                 now[0],
-                make_sets([r[3] for r in rows]) if make_sets else [np.frombuffer(r[3], np.uint64) for r in rows],
+                [r[3] for r in rows],
                 now[1] != now[2],
                 threshold,
             )
-            if pairs:
-                return [reps[a], reps[b]]
             links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
             some = np.flatnonzero(links)
             root = _roots(len(rows), a, b)
@@ -221,10 +222,11 @@ def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs:
         def together():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ready, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
             columns = [batch.column(i).to_pylist() for i in range(6)]
-            raw = batch.column(6)
-            for i, (leader, bi, bj, rep, block, leaders) in enumerate(zip(*columns, strict=True)):
+            sets = batch.column(6).to_pylist()
+            sets = make_sets(sets) if make_sets else [np.frombuffer(x, np.uint64) for x in sets]
+            for grams_, leader, bi, bj, rep, block, leaders in zip(sets, *columns, strict=True):
                 if (leader, bi, bj) != now:
                     if len(held) > 1:
                         ready.append(done())
@@ -233,7 +235,7 @@ def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs:
                             yield together()
                             ready, count = [], 0
                     held, now = [], (leader, bi, bj)
-                held.append((rep, block, leaders, raw[i].as_py()))
+                held.append((rep, block, leaders, grams_))
         if len(held) > 1:
             ready.append(done())
         if ready:
@@ -244,12 +246,15 @@ def verified_links(members: DataFrame, threshold: float, make_sets=None, pairs:
 
 
 def bucket_groups(spread: DataFrame, buckets: DataFrame) -> DataFrame:
-    """rep, groups (leader, number of blocks) of all that share a bucket; spread: rep, band; buckets: band, leader."""
-    led = written(spread.join(buckets, "band").select("leader", "rep").distinct(), "groups")
-    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    sizes = written(sizes.select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "sizes")
+    """rep, groups (leader, number of blocks) of all that share a bucket; spread: rep, size, band; buckets: band, leader."""
+    led = written(spread.join(buckets, "band").select("leader", "rep", "size").distinct(), "groups")
+    members = F.count(F.lit(1))
+    many = F.least(members, F.ceil(F.greatest(F.sum("size") / BLOCK, members / BLOCK_TEXTS))).cast("int")
+    sizes = led.groupBy("leader").agg(many.alias("nb"))
     placed = led.join(sizes, "leader").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("leader", "nb"))).alias("groups"))
-    return written(placed, "members")
+    placed = written(placed, "members")
+    dropped(led)
+    return placed
 
 
 def dealt_members(sets: DataFrame) -> DataFrame:
@@ -271,14 +276,16 @@ def similar_groups(
     number, rows = bands(threshold, recall)
     marked = written(signatures(df, key, text, n, number, rows), "signatures")
     classes = written(
-        marked.where(F.col(key).isNotNull()).groupBy("digest").agg(F.min(key).alias("rep"), F.first("bands").alias("bands")), "texts"
+        marked.where(F.col(key).isNotNull()).groupBy("digest").agg(F.min(key).alias("rep"), F.min("size").alias("size"), F.first("bands").alias("bands")), "texts"
     )
     rep_of = marked.select(key, "digest").join(classes.select("digest", "rep"), "digest", "left").select(key, F.col("rep").alias("text_id"))
 
-    spread = classes.select("rep", F.explode("bands").alias("band"))
+    spread = classes.select("rep", "size", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = written(buckets.drop("m"), "buckets")
     placed = bucket_groups(spread, buckets)
+    dropped(buckets)
+    sweep(df.sparkSession)
 
     def make(batches):
         for batch in batches:
@@ -296,7 +303,10 @@ def similar_groups(
     found = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     about = written(counts.join(found, "node", "left"), "classes")
     about = about.select(F.col("node").alias("text_id"), "n_links", "component")
-    out = written(rep_of, "texts").join(about, "text_id", "left")
+    rep_of = written(rep_of, "classes")
+    dropped(marked, classes, placed, links)
+    sweep(df.sparkSession)
+    out = rep_of.join(about, "text_id", "left")
     return out.select(
         key, F.coalesce("component", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )

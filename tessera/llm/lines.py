@@ -1,27 +1,26 @@
 """Operator 7: fuzzy deduplication of lines by MinHash.
 
 Lines are parts of texts between line feeds; lines without a non-space are left alone.
-The signature of a line is a one-permutation MinHash over its shingles of NARROW characters:
-the range of a shingle's 64-bit hash is cut into CLASSES, and the ROWS smallest hashes of a
-class are a band. A pair at the threshold meets in a band with a probability of about
-1 - (1 - THRESHOLD^ROWS)^CLASSES = 0.99. Of lines with very many shingles, those whose hash is
-divisible by RATE do (alike lines have alike samples). Lines of few shingles are signed by
-every choice of FEW_ROWS of their FEW smallest hashes. Sizes between two ways are signed in
-both.
+The signature of a line is a MinHash over its shingles of NARROW characters, the same set that
+verification compares: BANDS bands of ROWS values, so lines at the threshold meet with a
+probability of 1 - (1 - THRESHOLD^ROWS)^BANDS = 0.974, and of 0.997 at 0.85. Lines of many
+shingles take them from one permutation: the range of hashes is cut into BANDS classes, and
+the ROWS smallest hashes of a class are a band. Lines of few shingles have BANDS * ROWS
+permutations. Sizes between the two ways are signed in both.
 
 A bucket (lines with one band) is named by its smallest hash, its leader; whoever shares a
-bucket shares its leader, and all members of a leader's group meet. A group is dealt out by
-blocks of about BLOCK characters: one row compares two blocks, by exact Jaccard similarity
-(THRESHOLD) of the sets of all shingles, but no member with a component that it is linked to
-already. What a row gives is a spanning tree of its members' links, so rows grow with lines,
-not pairs. Distributed union-find joins the trees to components, of which the first line (by
-key, then line number) stays.
-
-Signatures are made on numpy in Arrow batches: built-in functions took 270 ns of CPU a character
-for them, seven times as much. All else is built-in functions. Shuffled
-are band hashes, texts of candidate lines and, once, texts of documents. Tables that nothing reads any more are removed on the way. Bitmaps
-that are broadcast keep out of shuffles what has no partner; MOST_BITS bounds them, and
-beyond it they let more rows pass, never fewer. Lines are told apart by 128 bits of hash.
+bucket shares its leader, and all members of a leader's group meet, in blocks, as in
+jaccard.py: a pair is verified once, by exact Jaccard similarity (THRESHOLD). What a task gives
+is each line's smallest partner, so rows grow with lines, not pairs. Distributed union-find
+joins verified pairs to components, of which the first line (by key, then line number) stays.
+
+Signatures and verification run on numpy in Arrow batches, which is not native form: built-in
+functions take 270 ns of CPU a character for the same signatures (numpy 60), and 400
+microseconds a candidate line for the same verification. Shuffled are band hashes, texts of
+candidate lines and, once, texts of documents. Tables that nothing reads any more are removed
+on the way. Bitmaps that are broadcast keep out of shuffles what has no partner; MOST_BITS
+bounds them, and beyond it they let more rows pass, never fewer. Lines are told apart by 128
+bits of hash.
 
 Cases: null text stays null and an empty text stays empty; rows with a null key keep their
 text; rows that repeat a key count as one document's lines; ties go to the smaller key,
@@ -32,7 +31,6 @@ an empty table gives no rows; very long lines are compared whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, dropped, sweep, written
-from tessera.llm.jaccard import _mix
+from tessera.llm.jaccard import BLOCK, BLOCK_TEXTS, _mix, dealt_members, verified_links
 
 NARROW = 5
 THRESHOLD = 0.8
-CLASSES, ROWS = 12, 5
-RATE = 4
-FEW, FEW_ROWS = 7, 4
-SMALL = 40  # shingles up to which a line is signed by choices of its smallest hashes
-ENOUGH = 60  # sampled shingles from which a line is signed by them alone
-BLOCK = 32_768  # characters of a block, about
+BANDS, ROWS = 12, 6
+MANY = 100  # shingles from which a line is signed by one permutation
 MOST_BITS = 1 << 28  # of a bitmap that is broadcast: 32 MB
 PART = 400_000  # characters that are signed at a time, about
 _LOW = np.uint64((1 << 48) - 1)
+_FACTOR = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,19 +60,6 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g")]
 
 
-def shingles(line: Column) -> Column:
-    """The distinct 64-bit hashes of a line's shingles; a line shorter than one is one."""
-    # no window starts between the halves of a character
-    windows = F.regexp_extract_all(line, F.lit(r"(?s)(?<![\x{D800}-\x{DBFF}])(?=(.{%d}))" % NARROW), F.lit(1))
-    whole = F.when(F.length(line) < NARROW, F.array(line)).otherwise(windows)
-    return F.array_distinct(F.transform(whole, lambda x: F.xxhash64(x)))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _places(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line) of all shingles of some lines: 48 bits of hash."""
     size = np.array([len(x) for x in lines], np.int64)
@@ -107,77 +89,72 @@ def _sorted(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both & _LOW, (both >> np.uint64(48)).astype(np.int64)
 
 
-def _class_bands(hashes: np.ndarray, line: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def _one_permutation(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band, line): a hash of the ROWS smallest of each class that a line has any of."""
     if not len(hashes):
         return hashes, line
-    group = line * CLASSES + (((hashes >> np.uint64(24)) * np.uint64(CLASSES)) >> np.uint64(24)).astype(np.int64)
+    group = line * BANDS + (((hashes >> np.uint64(24)) * np.uint64(BANDS)) >> np.uint64(24)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.append(starts[1:], len(group))
-    band = np.full(len(starts), salt, np.uint64)
+    band = (group[starts] % BANDS).astype(np.uint64)
     for k in range(ROWS):
         has = starts + k < ends
         band[has] = _mix(band[has] * np.uint64(31) + hashes[starts[has] + k] + np.uint64(1))
     return band, line[starts]
 
 
-def _few_bands(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band, line): every choice of FEW_ROWS of the FEW smallest; of fewer hashes, all of them."""
+def _many_permutations(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, line): BANDS hashes of ROWS minima each."""
     if not len(hashes):
         return hashes, line
     starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    size = np.append(starts[1:], len(line)) - starts
-    out, of = [], []
-    least = [hashes[np.minimum(starts + k, len(hashes) - 1)] for k in range(FEW)]
-    for chosen in [*combinations(range(FEW), FEW_ROWS), *(range(k) for k in range(1, FEW_ROWS))]:
-        has = size > chosen[-1] if len(chosen) == FEW_ROWS else size == len(chosen)
-        band = np.full(int(has.sum()), 3, np.uint64)
-        for k in chosen:
-            band = _mix(band * np.uint64(31) + least[k][has] + np.uint64(1))
-        out.append(band)
-        of.append(line[starts][has])
-    return np.concatenate(out), np.concatenate(of)
+    values = (hashes >> np.uint64(16)).astype(np.uint32)
+    band = np.repeat(np.arange(100, 100 + BANDS, dtype=np.uint64)[:, None], len(starts), axis=1)
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat(values * _FACTOR[k], starts).astype(np.uint64)
+        band[k // ROWS] = _mix(band[k // ROWS] * np.uint64(31) + least + np.uint64(1))
+    return band.ravel(), np.tile(line[starts], BANDS)
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(band, line) of all bands of some lines, by line."""
-    hashes, line = _places(lines)
-    some = hashes % np.uint64(RATE) == 0
-    sample = _sorted(hashes[some], line[some])
-    sampled = np.bincount(sample[1], minlength=len(lines))
-    rest = (sampled < ENOUGH)[line.astype(np.int64)]
-    whole = _sorted(hashes[rest], line[rest])
-    size = np.bincount(whole[1], minlength=len(lines))
+    hashes, line = _sorted(*_places(lines))
+    size = np.bincount(line, minlength=len(lines))
     parts = []
-    for (h, of), keep, make in (
-        (sample, sampled >= ENOUGH * THRESHOLD, lambda h, of: _class_bands(h, of, 2)),
-        (whole, size >= SMALL * THRESHOLD, lambda h, of: _class_bands(h, of, 1)),
-        (whole, size <= SMALL, _few_bands),
-    ):
-        parts.append(make(h[keep[of]], of[keep[of]]))
+    for make, keep in ((_one_permutation, size >= MANY * THRESHOLD), (_many_permutations, size < MANY)):
+        some = keep[line]
+        parts.append(make(hashes[some], line[some]))
     band, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(of, kind="stable")
     return band[order].view(np.int64), of[order]
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    hashes, line = _sorted(*_places(lines))
+    return np.split(hashes, np.flatnonzero(line[1:] != line[:-1]) + 1)
+
+
+def parts_of(texts: list[str]) -> Iterator[list[str]]:
+    """Parts of a list, of about PART characters or one text."""
+    first, held = 0, 0
+    for i, x in enumerate(texts):
+        held += len(x)
+        if held > PART or i - first > 30_000:
+            yield texts[first : i + 1]
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 def signed_lines(lines: DataFrame) -> DataFrame:
     """key, no, h, g, size (in characters) and bands of lines with key, no and line; no shuffle."""
     hashed = lines.select("key", "no", *_hashes(), F.length("line").alias("size"), "line")
 
-    def parts(texts: list[str]) -> Iterator[list[str]]:
-        first, held = 0, 0
-        for i, x in enumerate(texts):
-            held += len(x)
-            if held > PART or i - first > 30_000:
-                yield texts[first : i + 1]
-                first, held = i + 1, 0
-        if first < len(texts):
-            yield texts[first:]
-
     def work(batches):
         for batch in batches:
             at = 0
-            for texts in parts(batch.column(5).to_pylist()):
+            for texts in parts_of(batch.column(5).to_pylist()):
                 band, of = band_keys(texts)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
                 found = pa.ListArray.from_arrays(offsets, band)
@@ -205,40 +182,6 @@ def only_marked(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
     return near.withColumns({"_word": word, "_bit": at.bitwiseAND(F.lit(63)).cast("int")}).where("shiftright(_word, _bit) & 1 = 1").select(*df.columns)
 
 
-def spanning_links(members: Column, crossing: Column, threshold: float) -> Column:
-    """(node, root) of members (node, block, line) whose links join them to a smaller one.
-
-    Components grow member by member: a member is held against each component until one of
-    its lines is similar, so a pair within a component is compared no more. crossing: only
-    members of different blocks meet.
-    """
-    whole = F.transform(F.sort_array(members), lambda m: F.struct(m["node"].alias("node"), m["block"].alias("block"), shingles(m["line"]).alias("set")))
-
-    def similar(a: Column, b: Column) -> Column:
-        m, n = F.size(a["set"]), F.size(b["set"])
-        both = F.size(F.array_intersect(a["set"], b["set"]))
-        return (~crossing | (a["block"] != b["block"])) & (F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9) & _let(both, lambda x: x >= threshold * (m + n - x) - 1e-9)
-
-    def step(held: Column, x: Column) -> Column:
-        marked = F.transform(held, lambda c: F.struct(c.alias("c"), F.exists(c, lambda y: similar(y, x)).alias("hit")))
-
-        def grown(all_: Column) -> Column:
-            hit = F.flatten(F.transform(F.filter(all_, lambda c: c["hit"]), lambda c: c["c"]))
-            rest = F.transform(F.filter(all_, lambda c: ~c["hit"]), lambda c: c["c"])
-            return F.concat(rest, F.array(F.concat(hit, F.array(x))))
-
-        return _let(marked, grown)
-
-    none = F.array().cast("array<array<struct<node:bigint,block:int,set:array<bigint>>>>")
-    trees = F.aggregate(whole, none, step, lambda held: F.filter(held, lambda c: F.size(c) > 1))
-
-    def links(c: Column) -> Column:
-        nodes = F.transform(c, lambda y: y["node"])
-        return _let(F.array_min(nodes), lambda least: F.transform(F.filter(nodes, lambda v: v != least), lambda v: F.struct(v.alias("node"), least.alias("root"))))
-
-    return F.flatten(F.transform(trees, links))
-
-
 def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All lines, signed (key, no, h, g, ...), and of those that repeat or resemble others (h, g, component).
 
@@ -248,35 +191,33 @@ def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
     lines = split_lines(df, key, text)
     signed = written(signed_lines(lines), "lines")
 
-    spread = signed.select("h", "g", "size", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("h").alias("leader"), F.max("h").alias("_h"), F.min("g").alias("_g0"), F.max("g").alias("_g1"))
-    buckets = written(buckets.where("leader <> _h or _g0 <> _g1").select("band", "leader"), "buckets")
+    spread = signed.select(F.explode("bands").alias("band"), "h")
+    buckets = spread.groupBy("band").agg(F.min("h").alias("leader"), F.max("h").alias("_last"))
+    buckets = written(buckets.where("leader <> _last").drop("_last"), "buckets")
     sweep(spark)
+    spread = signed.select("h", "g", "size", F.explode("bands").alias("band"))
     led = only_marked(spread, "band", buckets.select("band")).join(buckets, "band")
     led = written(led.groupBy("leader", "h", "g").agg(F.min("size").alias("size")), "groups")
     dropped(buckets)
     sweep(spark)
-    many = F.least(F.ceil(F.sum("size") / BLOCK), F.count(F.lit(1))).cast("int")
-    sizes = led.groupBy("leader").agg(many.alias("blocks"))
-    placed = led.join(sizes, "leader").groupBy("h", "g").agg(F.collect_list(F.struct("leader", "blocks")).alias("groups"))
-    placed = written(placed.withColumn("node", F.monotonically_increasing_id()), "members")
+    members = F.count(F.lit(1))
+    many = F.least(members, F.ceil(F.greatest(F.sum("size") / BLOCK, members / BLOCK_TEXTS))).cast("int")
+    sizes = led.groupBy("leader").agg(many.alias("nb"))
+    placed = led.join(sizes, "leader").groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("leader", "nb"))).alias("groups"))
+    placed = written(placed.withColumn("rep", F.monotonically_increasing_id()), "members")
     dropped(led)
     sweep(spark)
 
     found = only_marked(lines.select("line", *_hashes()), "h", placed.select("h"))
     found = found.groupBy("h", "g").agg(F.first("line").alias("line"))
-    dealt = found.join(placed, ["h", "g"]).select("node", "line", F.explode("groups").alias("_g"))
-    block = F.pmod(F.xxhash64("node"), F.col("_g.blocks").cast("long")).cast("int")
-    dealt = dealt.select("node", "line", "_g", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("_g.blocks") - 1)).alias("other"))
-    dealt = dealt.select("_g.leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.struct("node", "block", "line").alias("m"))
-    pairs = dealt.groupBy("leader", "bi", "bj").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
-    links = pairs.select(F.explode(spanning_links(F.col("ms"), F.col("bi") != F.col("bj"), threshold)).alias("x")).select("x.*")
-    links = written(links.distinct(), "links")
+    # lines are dealt out as texts: their shingle sets would take eight times the space
+    dealt = dealt_members(found.join(placed, ["h", "g"]).select("rep", "groups", F.col("line").alias("grams")))
+    links = written(verified_links(dealt, threshold, lambda texts: [x for part in parts_of(texts) for x in shingle_sets(part)]), "links")
     sweep(spark)
 
     parts = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     repeats = signed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", F.lit(None).cast("long").alias("component"))
-    about = placed.join(parts, "node").select("h", "g", "component").unionByName(repeats)
+    about = placed.join(parts, placed["rep"] == parts["node"]).select("h", "g", "component").unionByName(repeats)
     about = written(about.groupBy("h", "g").agg(F.max("component").alias("component")), "similar")
     dropped(placed, links, parts)
     sweep(spark)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,15 +80,33 @@ def test_packing_covers_every_token_once(docs, rows, empty):
     assert packing.pack_texts(empty, "doc_id", "text", BPE).count() == 0
 
 
+def test_texts_of_one_long_run(spark):
+    texts = [" " * 2_000_000, "\n" * 1_200_000, "a" * 300_000, "word" + " \t" * 600_000 + "end"]
+    lib = packing.tokenizer(BPE).lib
+    got = defaultdict(int)
+    for r in packing.pack_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", BPE).collect():
+        got[r.doc_id] += r.length
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_packing_keeps_all_limits(spark):
-    turns = [(i, [("user", "question " * 9), ("assistant", "answer " * (i % 40))]) for i in range(200)] + [(900, None), (901, [])]
+    turns = [(i, [("user", "question " * (400 if i % 3 == 0 else 9)), ("assistant", "answer " * (i % 40))]) for i in range(200)] + [(900, None), (901, [])]
     df = spark.createDataFrame(turns, "id long, turns array<struct<role:string,text:string>>").coalesce(1)
-    got = packing.pack_turns(df, "id", "turns", BPE, tokens=256, segments=6, loss=100).collect()
+    got = packing.pack_turns(df, "id", "turns", BPE, tokens=256, segments=6, loss=40).collect()
     held = defaultdict(lambda: [0, 0, 0])
     for r in got:
         for k, v in enumerate((r.length, 1, r.loss_tokens)):
             held[r.sequence_id][k] += v
-    assert all(t <= 256 and s <= 6 and x <= 100 for t, s, x in held.values())
+    assert all(t <= 256 and s <= 6 and x <= 40 for t, s, x in held.values())
+    # each limit binds somewhere
+    assert any(t == 256 for t, *_ in held.values()) and any(s == 6 for _, s, _ in held.values())
+    free = Counter()
+    for r in packing.pack_turns(df, "id", "turns", BPE, tokens=256, segments=6).collect():
+        free[r.sequence_id] += r.loss_tokens
+    assert max(free.values()) > 40
+    for bad in ({"loss": 0}, {"segments": 0}, {"tokens": 100}):
+        with pytest.raises(ValueError):
+            packing.pack_turns(df, "id", "turns", BPE, **bad)
     assert {r.id for r in got} == {i for i, _ in turns}
 
 
@@ -100,7 +119,6 @@ def test_pieces_equal_the_library(spark, docs, rows, empty):
         assert m.encode(t) == ids and m.decode(ids) == m.lib.decode(ids)
         if len(t) < 500:
             assert m.segment(("▁" + t if t else t).replace(" ", "▁")) == ids[:-1]
-    assert m.differing == 0
     got = {r.doc_id: r for r in pieces.digest_pieces(docs, "doc_id", "text", PIECES).collect()}
     for i, t, *_ in rows:
         if i is not None:
@@ -113,7 +131,7 @@ def test_pieces_equal_the_library(spark, docs, rows, empty):
     assert pieces.digest_pieces(empty, "doc_id", "text", PIECES).count() == 0
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     html = [None, "", "a", "a", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n", "é\U0001f600", "b" * 300_000, "a", None]
     pages = spark.createDataFrame([(i, f"http://WWW.x{i % 2}.org/p?q#f" if i else None, h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, urlkey string")
     for least in (0, 2):
@@ -127,8 +145,18 @@ def test_archives_round_trip(spark):
             digest = base64.b32encode(hashlib.sha1(h).digest()).decode()
             assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(h), digest, "revisit" if to is not None else "response", to)
     assert warc.archive_and_index(pages.limit(0)).count() == 0
+    twice = warc.archive_and_index(pages.unionByName(pages)).collect()
+    assert Counter(r.key for r in twice) == {i: 2 for i in range(len(html))}
+    monkeypatch.setattr(warc, "LARGE", 1000)  # the long payload goes to a file of its own
+    assert len(warc.archive_and_index(pages).collect()) == len(html)
     members = [b"WARC/1.1\r\nA: 1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"] * 3
     assert [b for _, _, b in warc.parse_records(warc.compress(members))] == [b"abc"] * 3
+    many = warc.compress([b"WARC/1.1\r\nContent-Length: 900\r\n\r\n" + random.Random(i).randbytes(900) + b"\r\n\r\n" for i in range(20_000)])
+    began = time.process_time()
+    places = [at for at, _, _ in warc.parse_records(many)]
+    assert len(places) == 20_000 and places == sorted(places) and time.process_time() - began < 30  # linear: 20 MB, not 200 GB copied
+    with pytest.raises(ValueError):
+        list(warc.parse_records(many[:-5]))
 
 
 def test_loser_tree():
@@ -259,9 +287,10 @@ def test_language(spark, empty):
         [(1, "https://u@fr.example.org:80/x", '<html lang="fr"><script>the of and</script><p>le la et que &amp; pour', "h"), (2, None, None, "h")],
         "page_id long, url string, html string, host string",
     )
-    seen = {r.page_id: r for r in language.identify_pages(pages, docs).collect()}
+    model = language.train(docs, "doc_id", "text", "lang")
+    seen = {r.page_id: r for r in language.identify_pages(pages, model).collect()}
     assert seen[1].identified == "fr" and seen[1].declared == "fr" and not seen[2].accepted
-    assert language.identify_documents(empty).count() == 0 and language.identify_pages(pages.limit(0), docs).count() == 0
+    assert language.identify_documents(empty).count() == 0 and language.identify_pages(pages.limit(0), model).count() == 0
 
 
 def line_components(distinct):
@@ -338,11 +367,9 @@ def test_pseudonyms(spark, docs, empty):
 
 def test_feistel_is_a_permutation(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    assert d.select(pii.permute_digits(F.col("d"), "q").alias("p")).distinct().count() == 1000
+    assert d.select(pii.permute_digits(F.col("d"), F.lit("q")).alias("p")).distinct().count() == 1000
     w = spark.range(676).select(F.concat(F.char(97 + F.floor(F.col("id") / 26)), F.char(97 + F.col("id") % 26)).alias("w"))
-    assert w.select(pii.permute_letters(F.col("w"), "q").alias("p")).where("p rlike '^[a-z]{2}$'").distinct().count() == 676
-    days = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    assert days.select(pii.date(F.col("d"), "q").alias("p")).distinct().count() >= days.count() - 2
+    assert w.select(pii.permute_letters(F.col("w"), F.lit("q")).alias("p")).where("p rlike '^[a-z]{2}$'").distinct().count() == 676
 
 
 def test_exact_groups(spark, docs, rows, empty):
@@ -407,8 +434,8 @@ def test_short_spaceless_and_repetitive_lines(spark):
 
 def test_line_signatures_reach_the_recall():
     rng = random.Random(12)
-    assert 1 - (1 - lines.THRESHOLD**lines.ROWS) ** lines.CLASSES >= 0.99
-    for low, high in ((8, 45), (30, 90), (90, 350), (150, 350), (350, 900)):  # around the sizes where ways of signing change
+    assert 1 - (1 - lines.THRESHOLD**lines.ROWS) ** lines.BANDS >= 0.97
+    for low, high in ((8, 45), (30, 90), (70, 130), (100, 350), (350, 900)):  # around the size where ways of signing change
         met = many = 0
         for _ in range(700):
             a = "".join(rng.choice("abcdefghijklmnop\u00e9\U0001f600") for _ in range(rng.randint(low, high)))
@@ -417,7 +444,7 @@ def test_line_signatures_reach_the_recall():
             if 0.8 <= len(x & y) / max(1, len(x | y)) <= 0.9:
                 band, of = lines.band_keys([a, b])
                 met, many = met + bool(set(band[of == 0].tolist()) & set(band[of == 1].tolist())), many + 1
-        assert many > 200 and met >= 0.965 * many
+        assert many > 200 and met >= 0.97 * many
     band, of = lines.band_keys(["=" * 20, "=" * 80, "ab", "ab\0\0\0"])
     own = [set(band[of == i].tolist()) for i in range(4)]
     assert own[0] == own[1] and own[2] != own[3] and all(own)
@@ -431,7 +458,7 @@ def test_lines_in_groups_of_many_blocks(spark, monkeypatch):
     group, want = line_components(made)
     assert len(set(group.values())) > 10
     df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id long, text string")
-    for block in (lines.BLOCK, 3000):  # one block, and a dozen
+    for block in (lines.BLOCK, 9000):  # one block, and several
         monkeypatch.setattr(lines, "BLOCK", block)
         kept = {r.doc_id for r in lines.drop_similar_lines(df).where("n_dropped = 0").collect()}
         best = {}
@@ -480,9 +507,6 @@ def test_personal_values_are_validated_and_decoys_stay(spark):
         assert v not in got[i] and re.sub("[0-9]", "9", got[i]) == re.sub("[0-9]", "9", f"see {v}; end")
         if v[:2] in ("DE", "GB"):
             assert mod(got[i][4:-5].replace(" ", "")) == 1
-    month_first = spark.range(0, 9000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
-    moved = month_first.select(pii.date(F.date_format("d", "MM/dd/yyyy"), "q").alias("p"))
-    assert moved.where("p rlike '^(0[1-9]|1[0-2])/(1[3-9]|[23][0-9])/'").distinct().count() == month_first.count()
 
 
 def test_secrets_in_long_paths_and_beside_base_spans(spark, docs):

@@ -11,7 +11,8 @@ off whole sequences.
 Packing is local to a partition, so there is no shuffle, and streams: a bounded window of
 pieces waits, one sequence is open. What a sequence lacks is never padded: a sequence that
 ends short is dealt out over sequences whose lengths are powers of two, largest first.
-Memory is one Arrow batch and the window. sequence_id is unique over all partitions
+Memory is one Arrow batch and the window, whose pieces hold at most WINDOW sequences' worth
+of ids. sequence_id is unique over all partitions
 (partition number, then a count) and depends on the partitioning of the input.
 
 Cases: a null or empty text is an example with the end id alone; a null key stays null;
@@ -41,8 +42,10 @@ class ByteTokenizer:
     """Byte-level BPE ids of the vocabulary in a tokenizers JSON file.
 
     Texts are encoded with the file's vocabulary by rank, which is how the tokenizers
-    library merges too, but several times faster (tests hold both to the same ids); a text
-    that holds the string of a special token goes to that library itself.
+    library merges too, but several times faster (tests hold both to the same ids). A text
+    that holds the string of a special token goes to that library itself, and so does one
+    that the quick way can't take (runs of a million blanks), and every text where the file
+    asks for another way of cutting texts up.
     """
 
     def __init__(self, path: str):
@@ -58,14 +61,20 @@ class ByteTokenizer:
             bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
         }
         self.special = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)").search
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by the file's kind
+        # the fixed pattern of the kind ByteLevel
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        cut = spec.get("pre_tokenizer") or {}
+        self.usual = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         """The uint32 ids of a text."""
-        if self.special(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text)
+        if self.usual and not self.special(text):
+            try:
+                return self.fast.encode_to_numpy(text)
+            except ValueError:  # the pattern's matcher has a limit that long runs exceed
+                pass
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _shown_bytes() -> dict[str, int]:
@@ -83,7 +92,10 @@ def tokenizer(path: str) -> ByteTokenizer:
 
 
 class Packer:
-    """Packs the pieces of one partition. Pieces: (key, start, ids, loss prefix sums or None)."""
+    """Packs the pieces of one partition.
+
+    Items: (key, ids that are left, loss prefix sums or None, ids before, ids of the whole).
+    """
 
     def __init__(self, tokens: int, segments: int, loss: int, first_id: int, window: int = WINDOW):
         self.limit = np.array([tokens, segments, loss], float)
@@ -103,10 +115,13 @@ class Packer:
         sums = None if loss is None else np.concatenate([[0], np.cumsum(loss)])
         at, n = 0, len(ids)
         while n - at >= self.tokens and self.limit[2] >= self._loss(sums, at, at + self.tokens):
-            self._emit([((key, ids, sums), at, at + self.tokens)])
+            self._emit([((key, ids, sums, 0, n), at, at + self.tokens)])
             at += self.tokens
         if at < n:
-            self._wait((key, ids, sums), at, n)
+            if at:  # what has been emitted needn't stay in memory
+                self._wait((key, ids[at:].copy(), None if sums is None else sums[at:].copy(), at, n), 0, n - at)
+            else:
+                self._wait((key, ids, sums, 0, n), 0, n)
             while len(self.items) > self.size:
                 self._place()
 
@@ -177,9 +192,9 @@ class Packer:
 
     def _emit(self, parts: list) -> None:
         offset = 0
-        for (key, ids, sums), a, b in parts:
+        for (key, ids, sums, before, whole), a, b in parts:
             crc = zlib.crc32(ids[a:b].astype("<u4", copy=False).tobytes())
-            self.out.append((key, a, b - a, crc, len(ids), self.next_id, offset, self._loss(sums, a, b)))
+            self.out.append((key, before + a, b - a, crc, whole, self.next_id, offset, self._loss(sums, a, b)))
             offset += b - a
         self.next_id += 1
 
@@ -206,11 +221,13 @@ def pack(
     """
     if tokens < 1 or tokens & (tokens - 1):
         raise ValueError("the limit on tokens must be a power of two")
+    if segments < 1 or (loss is not None and loss < 1):
+        raise ValueError("a sequence must have room for a segment and a loss-bearing token")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(tokens, segments, loss or tokens, TaskContext.get().partitionId() << 40)
+        packer = Packer(tokens, segments, tokens if loss is None else loss, TaskContext.get().partitionId() << 40)
         kind = None
 
         def rows() -> pa.RecordBatch:

@@ -37,6 +37,8 @@ from tessera.llm.common import shared_dir, written
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 32 << 20  # about the size of an archive file
+LARGE = 1 << 18  # bytes; larger payloads go to files of their own, fewer in each
+MOST_BYTES = 1_500_000_000
 RANGE_ROWS = 20_000
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z, the time of the capture with key 0
 CAPTURE = "urlkey string, ts string, key long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, at long"
@@ -56,16 +58,19 @@ def base32_sha1(payload: Column) -> Column:
 def mark_revisits(pages: DataFrame, key: str, payload: str, min_bytes: int = 0) -> DataFrame:
     """pages with payload_bytes, payload_digest and refers_to (null for responses).
 
-    One narrow row per digest is aggregated before the shuffle and joined back; the join's
-    skewed partitions can be split, as the aggregate is a written table.
+    Payloads are equal when their size, SHA-1 and SHA-256 are (SHA-1 alone has known
+    collisions). One narrow row per payload is aggregated before the shuffle and joined back;
+    the join's skewed partitions can be split, as the aggregate is a written table.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     known = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", base32_sha1(body))
+    known = known.withColumn("_full", F.sha2(body, 256))
     large = known.where(F.col("payload_bytes") >= min_bytes)
-    last = large.groupBy("payload_digest", "payload_bytes").agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    same = ["payload_digest", "payload_bytes", "_full"]
+    last = large.groupBy(*same).agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_n"))
     last = written(last.where("_n > 1").drop("_n"), "payloads")
-    joined = known.join(last, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("_last") != F.col(key), F.col("_last"))).drop("_last")
+    joined = known.join(last, same, "left")
+    return joined.withColumn("refers_to", F.when(F.col("_last") != F.col(key), F.col("_last"))).drop("_last", "_full")
 
 
 def _id(key: Column) -> Column:
@@ -112,10 +117,19 @@ def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str
     )
     # lineSep, which ends every row, is the end of a record
     record = F.concat(header, F.octet_length(F.col("_b")).cast("string"), F.lit(CRLF + CRLF), F.col("_b"))
-    lines = rows.withColumn("_b", block).select(record.alias("value"))
-    mean = pages.select(F.avg(F.octet_length(F.col(payload)))).first()[0] or 0.0
-    per_file = max(1, int(FILE_BYTES / (mean + 600)))
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+
+    def lines(some: DataFrame) -> DataFrame:
+        return some.withColumn("_b", block).select(record.alias("value"))
+
+    size = F.coalesce(F.octet_length(F.col(payload)), F.lit(0))
+    small = size <= LARGE
+    mean, most = pages.select(F.avg(F.when(small, size)), F.max(F.when(~small, size))).first()
+    # no file outgrows MOST_BYTES, which is what a reader can hold in one piece
+    writes = [(small, min(FILE_BYTES / ((mean or 0.0) + 600), MOST_BYTES / LARGE))]
+    if most:
+        writes.append((~small, min(FILE_BYTES / LARGE, MOST_BYTES / most)))
+    for which, per_file in writes:
+        lines(rows.where(which)).write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, int(per_file))).text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r?\n(.*?)\r?\n\r?\n", re.S)
@@ -126,12 +140,16 @@ def _members(raw: bytes) -> Iterator[tuple[int, bytes]]:
     if raw[:2] != b"\x1f\x8b":
         yield 0, raw
         return
-    at = 0
+    view, at = memoryview(raw), 0
     while at < len(raw):
-        d = zlib.decompressobj(wbits=31)
-        out = d.decompress(raw[at:]) + d.flush()
-        yield at, out
-        at = len(raw) - len(d.unused_data) if d.unused_data else len(raw)
+        d, out, next_ = zlib.decompressobj(wbits=31), [], at
+        while not d.eof and next_ < len(raw):  # in pieces, since the decompressor copies what it doesn't use
+            out.append(d.decompress(view[next_ : next_ + 65_536]))
+            next_ += 65_536
+        if not d.eof:
+            raise ValueError(f"the gzip member at {at} is cut off")
+        yield at, b"".join(out)
+        at = min(next_, len(raw)) - len(d.unused_data)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

@@ -7,9 +7,11 @@ came with it, and a count. Keys are aggregated inside each task before they are
 so a text with very many copies sends one row per task. Each micro-batch upserts what it
 changed into a table in the shared folder; a restarted query goes on from its checkpoint.
 
-A digest hit is then held against content: the full bytes of each member are compared
-with those of the retained row, found by its locator. Should bytes differ, the digest is
-split by content, so a collision never drops a document.
+A content locator is a file and a row's place in it. Rows that come from no file are written
+to the shared folder first. A digest hit is then held against content: the full bytes of
+each member are compared with those of the retained row, and both are fetched by their
+locators, so identifiers may repeat. Should bytes differ, the digest is split by content, so
+a collision never drops a document.
 
 Cases: null text counts as empty, and empty texts are equal; a null identifier loses
 against any other; rows that repeat an identifier each count in group_size and share one
@@ -22,19 +24,26 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, written
+from tessera.llm.common import dropped, shared_dir, sweep, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def text_digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text_sha256, n_bytes, locator): lower-case hex SHA-256 of the normalised text.
+def located(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, locator): a row's file and its place there."""
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    try:
+        return df.select(key, text, place.alias("locator"))
+    except AnalysisException:  # no files behind it
+        return written(df.select(key, text), "content").select(key, text, place.alias("locator"))
 
-    The locator is the row's file, below which its identifier finds it.
-    """
+
+def text_digests(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text_sha256, n_bytes, locator): lower-case hex SHA-256 of the normalised text."""
 
     def work(batches):
         for batch in batches:
@@ -49,8 +58,8 @@ def text_digests(df: DataFrame, key: str, text: str) -> DataFrame:
                 names=[key, "text_sha256", "n_bytes", "locator"],
             )
 
-    return df.select(key, text, F.input_file_name().alias("locator")).mapInArrow(
-        work, f"`{key}` {df.schema[key].dataType.simpleString()}, text_sha256 string, n_bytes long, locator string"
+    return rows.select(key, text, "locator").mapInArrow(
+        work, f"`{key}` {rows.schema[key].dataType.simpleString()}, text_sha256 string, n_bytes long, locator string"
     )
 
 
@@ -116,7 +125,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", per_tri
     """One row per row of df: key, keep_id, group_size, kept, text_sha256."""
     spark = df.sparkSession
     path = shared_dir(spark, "digests")
-    text_digests(df, key, text).write.parquet(path)
+    content = located(df, key, text)
+    text_digests(content, key, text).write.parquet(path)
     keys = spark.read.parquet(path)
     if keys.isEmpty():
         kept = spark.createDataFrame(
@@ -125,39 +135,32 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", per_tri
     else:
         kept = stream_retained(spark, path, keys.schema, key, per_trigger)
     kept = written(kept, "kept")
-    joined = keys.join(kept.drop("locator"), ["text_sha256", "n_bytes"])
-    joined = joined.select(key, "keep_id", F.col("n").alias("group_size"), "text_sha256")
+    joined = keys.join(kept.withColumnRenamed("locator", "kept_at"), ["text_sha256", "n_bytes"])
+    joined = joined.select(key, "locator", "keep_id", "kept_at", F.col("n").alias("group_size"), "text_sha256")
     joined = written(joined, "groups")
 
     # Full bytes on hits: members of groups against the rows that their groups retain.
-    hits = joined.where("group_size > 1").select(key, "keep_id", "text_sha256").distinct()
-    hits = df.select(key, text).join(hits, key)
-    hits = written(hits.select(key, "keep_id", "text_sha256", same_text(text).alias("_t")), "hits")
-    kept_text = (
-        hits.where(F.col(key) == F.col("keep_id"))
-        .dropDuplicates(["text_sha256", "keep_id", "_t"])
-        .select("text_sha256", "keep_id", F.col("_t").alias("_k"))
-    )
-    wrong = (
-        hits.where(F.col(key) != F.col("keep_id"))
-        .join(kept_text, ["text_sha256", "keep_id"])
-        .where("_t <> _k")
-        .select("text_sha256")
-        .distinct()
-    )
+    hits = joined.where("group_size > 1").select("locator", "kept_at", "text_sha256")
+    hits = content.select(key, text, "locator").join(hits, "locator")
+    hits = written(hits.select(key, "locator", "kept_at", "text_sha256", same_text(text).alias("_t")), "hits")
+    kept_text = hits.where("locator = kept_at").select("kept_at", F.col("_t").alias("_k"))
+    wrong = hits.where("locator <> kept_at").join(kept_text, "kept_at").where("_t <> _k").select("text_sha256").distinct()
     wrong = written(wrong, "collisions")
+    sweep(spark)
     if not wrong.isEmpty():  # digests of different texts: these groups are formed by content
         split = hits.join(wrong, "text_sha256")
         named = written(
             split.groupBy("text_sha256", "_t").agg(F.max(key).alias("_keep"), F.count(F.lit(1)).alias("_n")), "split"
         )
-        split = split.join(named, ["text_sha256", "_t"]).select(key, "text_sha256", "_keep", "_n")
+        split = split.join(named, ["text_sha256", "_t"]).select("locator", "_keep", "_n")
         joined = (
-            joined.join(split, [key, "text_sha256"], "left")
+            joined.join(split, "locator", "left")
             .withColumn("keep_id", F.coalesce("_keep", "keep_id"))
             .withColumn("group_size", F.coalesce("_n", "group_size"))
             .drop("_keep", "_n")
         )
+        joined = written(joined, "groups")
+    dropped(kept, hits)
     return joined.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

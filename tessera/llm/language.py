@@ -3,14 +3,22 @@
 log P(language | row) is, up to a constant,
     log prior of the host + log P(text) + log P(declared language) + log P(address suffix),
 each given the language. Text likelihoods are hashed byte-trigram models, trained by a
-grouped count over at most TRAIN_DOCS labelled rows (the documented bound; those with the
-smallest hash of their key). Everything else covers all rows: the text's own posterior is
-summed by host, registered domain, declared language and suffix; a host's prior is shrunk
-to its domain's, which is shrunk to the overall one (SHRINK pseudo-rows each), and so are
-the tables of declared languages and suffixes.
-
-A row is rejected if its text is no likelier under any language than under random bytes,
-or if no language reaches SURE of the posterior.
+grouped count over at most PER_LANGUAGE labelled rows of each language (the documented bound;
+those with the smallest hash of their key), each of which is read whole and weighs as much as
+LEARNT trigrams at most. Everything else covers all rows: the text's own
+posterior is summed by host, registered domain, declared language and suffix; a host's prior
+is shrunk to its domain's, which is shrunk to the overall one (SHRINK pseudo-rows each), and
+so are the tables of declared languages and suffixes. A row's own posterior is taken out of
+all these sums before they speak about that row.
+
+Trigrams of a text depend on each other, so its likelihood is tempered: it counts as that of
+`full_text` trigrams at most, by their mean over the whole text.
+
+A row is rejected if no language fits its text, or if none reaches SURE of the posterior. A
+language fits if the mean log-likelihood reaches a limit that is fitted on the labelled rows:
+models of one half of them score the other half, and the limit lies LIMIT of the way from
+what a language's own texts reach (the median) to what texts of other languages reach, or of
+random bytes where there is one language; short texts get three standard errors of slack.
 
 Scores are written once (a few numbers a row); the rest are grouped sums and joins of
 those, which adaptive execution splits where a host or a declared language is very common.
@@ -19,28 +27,32 @@ Cases: null text counts as empty, which is rejected; null host, declared languag
 suffix says nothing (it is a value like any other, shrunk to the overall prior); repeated
 rows each count; ties of the posterior go to the language first in the alphabet; extra
 columns are ignored; an empty table gives no rows, and without labelled rows every row is
-rejected.
+rejected; very long texts are read whole, markup in time linear in its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, written
+from tessera.llm.common import dropped, written
 
 BUCKETS = 1 << 14
-TRAIN_DOCS = 4000
-MAX_LANGUAGES = 64
+PER_LANGUAGE = 1000
 SHRINK = 20.0
-FULL_TEXT = 60  # a text's likelihood counts as of so many trigrams at most, since these depend on each other
+FULL_TEXT = 60
+LEARNT = 2000  # trigrams that a labelled text counts as at most, lest one long text be its language
 SURE = 0.6
-DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>").sub
+LIMIT = 0.75
+_HIDDEN = re.compile(r"(?i)<(script|style)\b").match
+_CLOSED = {x: re.compile(rf"(?i)</{x}\s*>").search for x in ("script", "style")}
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,67 +70,163 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], size
 
 
+def visible(markup: str) -> str:
+    """What stands between tags, without scripts, styles and comments; each leaves a blank.
+
+    What is never closed is a tag up to the next >, or text if there is none. No end is
+    looked for again where there was none before, so this takes linear time.
+    """
+    out, at, never = [], 0, set()
+
+    def end(kind: str, found: Callable[[], int]) -> int:
+        if kind in never:
+            return -1
+        stop = found()
+        if stop < 0:
+            never.add(kind)
+        return stop
+
+    while (i := markup.find("<", at)) >= 0:
+        stop = -1
+        if markup.startswith("<!--", i):
+            stop = end("-->", lambda: markup.find("-->", i + 4)) + 3  # noqa: B023
+            stop = -1 if stop < 3 else stop
+        elif m := _HIDDEN(markup, i):
+            name = m[1].lower()
+            stop = end(name, lambda: c.end() if (c := _CLOSED[name](markup, i)) else -1)  # noqa: B023
+        if stop < 0:
+            stop = markup.find(">", i) + 1
+        if not stop:
+            break
+        out.append(markup[at:i])
+        at = stop
+    return " ".join([*out, markup[at:]])
+
+
 def _plain(value: str | None, markup: bool) -> bytes:
     value = value or ""
     if markup:
-        value = html.unescape(DROP(" ", value))
+        value = html.unescape(visible(value))
     return value.lower().encode("utf-8", "replace")
 
 
-def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of the buckets, from a bounded sample."""
-    some = bounded_sample(labelled.where(F.col(lang).isNotNull()).select(key, text, lang), key, max_docs).select(text, lang)
+@dataclass
+class Model:
+    """langs in order; logs: log-probabilities of the buckets; limit and slack: of the mean
+    log-likelihood from which a language fits, at infinite length and by 1 / sqrt(length)."""
+
+    langs: list[str]
+    logs: np.ndarray
+    limit: np.ndarray
+    slack: np.ndarray
+
+
+def labelled_sample(labelled: DataFrame, key: str, text: str, lang: str, rows: int = PER_LANGUAGE) -> DataFrame:
+    """text, lang and half (0 or 1) of at most `rows` rows of each language.
+
+    A threshold on the hash, from the number of a language's rows, leaves little more than
+    `rows` of them before any are sorted.
+    """
+    top = 1 << 40
+    known = labelled.where(F.col(lang).isNotNull())
+    many = known.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = known.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key)), F.lit(top)).alias("_hash"))
+    some = hashed.join(many, hashed["lang"] == many["_lang"])
+    some = some.where(F.col("_hash") < F.lit(top) * F.least(F.lit(1.0), (1.3 * rows + 100) / F.col("_n")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_key"))
+    return some.withColumn("_rank", rank).where(F.col("_rank") <= rows).select("text", "lang", (F.col("_rank") % 2).cast("long").alias("half"))
+
+
+def train(labelled: DataFrame, key: str, text: str, lang: str, rows: int = PER_LANGUAGE) -> Model:
+    """The model of a bounded sample of labelled rows."""
+    some = written(labelled_sample(labelled, key, text, lang, rows), "labelled")
 
     def count(batches):
         for batch in batches:
             codes, size = _codes([_plain(t, False) for t in batch.column(0).to_pylist()])
-            names = batch.column(1).to_pylist()
+            names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             known = sorted(set(names))
-            of = np.repeat([known.index(n) for n in names], size)
-            found, n = np.unique(of * BUCKETS + codes, return_counts=True)
+            of = np.repeat([known.index(n) for n in names], size).astype(np.int64)
+            weight = np.repeat(np.minimum(1.0, LEARNT / np.maximum(size, 1)), size)
+            found, back = np.unique(of * BUCKETS + codes, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([known[i] for i in found // BUCKETS], pa.string()),
+                    pa.array([known[i][0] for i in found // BUCKETS], pa.string()),
+                    pa.array([known[i][1] for i in found // BUCKETS], pa.int64()),
                     pa.array(found % BUCKETS, pa.int64()),
-                    pa.array(n, pa.int64()),
+                    pa.array(np.bincount(back, weights=weight, minlength=len(found)), pa.float64()),
                 ],
-                names=["lang", "bucket", "n"],
+                names=["lang", "half", "bucket", "n"],
             )
 
-    counts = some.repartition(8).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow().to_pydict()  # at most max_docs texts' buckets
-    total: dict[str, int] = {}
-    for lang_, n in zip(got["lang"], got["n"], strict=True):
-        total[lang_] = total.get(lang_, 0) + n
-    langs = sorted(sorted(total, key=lambda x: (-total[x], x))[:MAX_LANGUAGES])
-    table = np.full((len(langs), BUCKETS), 0.5)
+    counts = some.mapInArrow(count, "lang string, half long, bucket long, n double").groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n"))
+    got = counts.toArrow().to_pydict()  # of the sample's buckets alone
+    langs = sorted(set(got["lang"]))
     at = {x: i for i, x in enumerate(langs)}
-    for lang_, b, n in zip(got["lang"], got["bucket"], got["n"], strict=True):
-        if lang_ in at:
-            table[at[lang_], b] += n
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.zeros((2, len(langs), BUCKETS))
+    np.add.at(table, (got["half"], [at[x] for x in got["lang"]], got["bucket"]), got["n"])
+
+    def logs(counted: np.ndarray) -> np.ndarray:
+        counted = counted + 0.5
+        return np.log(counted / counted.sum(axis=-1, keepdims=True)).astype(np.float32)
 
+    whole = logs(table.sum(axis=0))
+    halves = logs(table)
 
-def score_texts(df: DataFrame, keys: list[str], text: str, others: list[str], model: np.ndarray, markup: bool = False) -> DataFrame:
+    def held_out(batches):
+        for batch in batches:
+            codes, size = _codes([_plain(t, False) for t in batch.column(0).to_pylist()])
+            means = [_means(h, codes, size) for h in halves]
+            half = np.array(batch.column(2).to_pylist(), np.int64)
+            seen = np.where(half == 0, means[1], means[0]).T if len(langs) else np.zeros((len(size), 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(size, pa.int64()), pa.array(seen.tolist(), pa.list_(pa.float64()))], names=["lang", "size", "means"]
+            )
+
+    seen = some.mapInArrow(held_out, "lang string, size long, means array<double>").where(F.col("size") >= FULL_TEXT)
+    seen = seen.toArrow().to_pydict() if langs else {"lang": [], "means": []}  # a row of numbers for each of the sample
+    dropped(some)
+    means = np.array(seen["means"], float).reshape(len(seen["lang"]), len(langs))
+    of = np.array([at.get(x, -1) for x in seen["lang"]], np.int64)
+    floor = np.log(1 / BUCKETS)
+    limit = np.full(len(langs), floor)
+    for i in range(len(langs)):
+        own, others = means[of == i, i], means[of != i, i]
+        if len(own):
+            low = float(np.median(others)) if len(others) else floor
+            limit[i] = (1 - LIMIT) * float(np.median(own)) + LIMIT * low
+    p = np.exp(whole.astype(float))
+    spread = np.sqrt(np.maximum((p * whole**2).sum(axis=1) - (p * whole).sum(axis=1) ** 2, 0))
+    return Model(langs, whole, limit, 3 * spread)
+
+
+def _means(logs: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mean log-probability of each text's trigrams, a row for each language."""
+    out = np.zeros((len(logs), len(size)))
+    full = np.flatnonzero(size)
+    if len(full):
+        begins = (np.cumsum(size) - size)[full]
+        for i, row in enumerate(logs):
+            out[i, full] = np.add.reduceat(row[codes].astype(np.float64), begins) / size[full]
+    return out
+
+
+def score_texts(
+    df: DataFrame, keys: list[str], text: str, others: list[str], model: Model, markup: bool = False, full_text: int = FULL_TEXT
+) -> DataFrame:
     """keys and others, with logs (array of the tempered text log-likelihoods) and fits."""
     columns = [*keys, *others]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    floor = float(np.log(1 / BUCKETS))
 
     def work(batches):
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 codes, size = _codes([_plain(t, markup) for t in part.column(len(columns)).to_pylist()])
-                full = np.flatnonzero(size)
-                sums = np.zeros((len(model), len(size)))
-                if len(full):
-                    begins = (np.cumsum(size) - size)[full]
-                    for i, row in enumerate(model):
-                        sums[i, full] = np.add.reduceat(row[codes].astype(np.float64), begins)
-                mean = sums / np.maximum(size, 1)
-                logs = mean * np.minimum(size, FULL_TEXT)
-                fits = (mean.max(axis=0) > floor) & (size > 0) if len(model) else np.zeros(len(size), bool)
+                means = _means(model.logs, codes, size)
+                limit = model.limit[:, None] - model.slack[:, None] / np.sqrt(np.maximum(size, 1))[None, :]
+                fits = (means >= limit).any(axis=0) & (size > 0)
+                logs = means * np.minimum(size, full_text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(i) for i in range(len(columns))],
@@ -138,58 +246,51 @@ def fuse(scored: DataFrame, langs: list[str], host: str, domain: str, declared:
         return scored.select(
             "*", F.lit(None).cast("string").alias("identified"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted")
         ).drop("logs", "fits")
-    names = [f"_p{i}" for i in range(n)]
     top = F.array_max("logs")
     weight = F.transform("logs", lambda x: F.exp(x - top))
     mass = F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)
     own = scored.withColumn("_w", weight).withColumn("_m", mass)
-    own = own.select("*", *[F.when(F.col("fits"), F.get("_w", F.lit(i)) / F.col("_m")).otherwise(0.0).alias(names[i]) for i in range(n)])
-    own = written(own.drop("_w", "_m"), "language")
-    sums = [F.sum(c).alias(c) for c in names]
+    share = F.transform("_w", lambda w: F.when(F.col("fits"), w / F.col("_m")).otherwise(0.0))
+    own = written(own.withColumn("_p", share).drop("_w", "_m"), "language")
+    sums = [F.sum(F.get("_p", F.lit(i))).alias(f"_s{i}") for i in range(n)]
+    every = [f"_s{i}" for i in range(n)]
+    again = [F.sum(c).alias(c) for c in every]
 
-    everything = own.agg(*sums).first()
-    whole = sum(everything[c] or 0.0 for c in names) + n
-    overall = [((everything[c] or 0.0) + 1) / whole for c in names]
-    joint = own.groupBy(domain, host).agg(*sums)
-
-    def shrunk(total, share, prior):
-        return (share + SHRINK * prior) / (total + SHRINK)
-
-    total = sum((F.col(c) for c in names), F.lit(0.0))
-    by_domain = joint.groupBy(domain).agg(*sums)
-    by_domain = by_domain.select(F.col(domain).alias("_d"), *[shrunk(total, F.col(c), F.lit(overall[i])).alias(f"_q{i}") for i, c in enumerate(names)])
-    hosts = joint.join(by_domain, F.col(domain).eqNullSafe(F.col("_d")), "left")
-    hosts = written(
-        hosts.select(
-            F.col(domain).alias("_d"),
-            F.col(host).alias("_h"),
-            F.array(*[F.log(shrunk(total, F.col(c), F.col(f"_q{i}"))) for i, c in enumerate(names)]).alias("_host"),
-        ),
-        "hosts",
-    )
+    def together(df: DataFrame, keys: dict[str, str], out: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(k) for c, k in keys.items()], F.array(*every).alias(out))
 
-    def given(column: str, out: str) -> DataFrame:
-        """log P(value | language) of each value, relative to that value's overall share."""
-        t = own.groupBy(column).agg(*sums)
-        return written(
-            t.select(
-                F.col(column).alias(f"_k{out}"),
-                F.array(*[F.log(shrunk(total, F.col(c), F.lit(overall[i])) / overall[i]) for i, c in enumerate(names)]).alias(out),
-            ),
-            out.strip("_"),
-        )
-
-    joined = own.drop(*names)
-    joined = joined.join(hosts, F.col(domain).eqNullSafe(F.col("_d")) & F.col(host).eqNullSafe(F.col("_h")), "left")
+    whole = own.agg(*sums).first()
+    whole = F.array(*[F.lit(float(whole[c] or 0.0)) for c in every])
+    joint = own.groupBy(domain, host).agg(*sums)
+    by_domain = together(joint.groupBy(domain).agg(*again), {domain: "_d0"}, "_domain")
+    hosts = together(joint, {domain: "_d", host: "_h"}, "_host").join(by_domain, F.col("_d").eqNullSafe(F.col("_d0")), "left").drop("_d0")
+    hosts = written(hosts, "hosts")
+    joined = own.join(hosts, F.col(domain).eqNullSafe(F.col("_d")) & F.col(host).eqNullSafe(F.col("_h")), "left")
     for column, out in ((declared, "_declared"), (suffix, "_suffix")):
-        joined = joined.join(given(column, out), F.col(column).eqNullSafe(F.col(f"_k{out}")), "left")
+        table = written(together(own.groupBy(column).agg(*sums), {column: f"_k{out}"}, out), out.strip("_"))
+        joined = joined.join(table, F.col(column).eqNullSafe(F.col(f"_k{out}")), "left")
+
+    # a row's own share is taken out of every sum (to no less than zero, against rounding)
+    rest = lambda c: F.transform(c, lambda x, i: F.greatest(x - F.get("_p", i), F.lit(0.0)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def shrunk(shares: Column, prior: Column) -> Column:
+        return F.transform(shares, lambda x, i: (x + SHRINK * F.get(prior, i)) / (total(shares) + SHRINK))
+
+    for c, of in (("_all", whole), *((x, F.col(x)) for x in ("_domain", "_host", "_declared", "_suffix"))):
+        joined = joined.withColumn(c, rest(of))
+    joined = joined.withColumn("_all", F.transform("_all", lambda x: (x + 1) / (total(F.col("_all")) + n)))
+    joined = joined.withColumn("_domain", shrunk(F.col("_domain"), F.col("_all")))
+    for c, prior in (("_host", "_domain"), ("_declared", "_all"), ("_suffix", "_all")):
+        joined = joined.withColumn(c, shrunk(F.col(c), F.col(prior)))
+    # P(value | language) is P(language | value) over the language's share, but for a constant
     logs = F.transform(
-        "logs", lambda x, i: x + F.get("_host", i) + F.get("_declared", i) + F.get("_suffix", i)
+        "logs", lambda x, i: x + F.log(F.get("_host", i)) + F.log(F.get("_declared", i) * F.get("_suffix", i) / F.pow(F.get("_all", i), F.lit(2)))
     )
-    joined = joined.withColumn("_all", logs).withColumn("_top", F.array_max("_all"))
-    best = F.array_position("_all", F.col("_top")).cast("int")
-    share = 1 / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    joined = joined.withColumn("identified", F.get(F.array(*[F.lit(x) for x in langs]), best - 1)).withColumn("confidence", share)
+    joined = joined.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
+    best = F.array_position("_logs", F.col("_top")).cast("int")
+    sure = 1 / F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    joined = joined.withColumn("identified", F.get(F.array(*[F.lit(x) for x in langs]), best - 1)).withColumn("confidence", sure)
     joined = joined.withColumn("accepted", F.col("fits") & (F.col("confidence") >= SURE))
     return joined.select(*[c for c in scored.columns if c not in ("logs", "fits")], "identified", "confidence", "accepted")
 
@@ -207,24 +308,25 @@ def page_evidence(pages: DataFrame, url: str = "url", markup: str = "html") -> D
     )
 
 
-def identify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def identify_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", model: Model | None = None
+) -> DataFrame:
     """key, identified, confidence, accepted of documents: lang is declared, source the host."""
-    langs, model = train(docs, key, text, lang)
+    model = model or train(docs, key, text, lang)
     rows = docs.select(
         key, text, F.col(lang).alias("declared"), F.col(source).alias("host"),
         F.regexp_extract(F.coalesce(F.col(source), F.lit("")), r"([^.]+\.[^.]+)$", 1).alias("domain"),
         F.regexp_extract(F.coalesce(F.col(source), F.lit("")), r"\.([^.]+)$", 1).alias("suffix"),
-    )
+    )
     scored = score_texts(rows, [key], text, ["host", "domain", "declared", "suffix"], model)
-    return fuse(scored, langs, "host", "domain", "declared", "suffix").select(key, "declared", "identified", "confidence", "accepted")
+    return fuse(scored, model.langs, "host", "domain", "declared", "suffix").select(key, "declared", "identified", "confidence", "accepted")
 
 
-def identify_pages(pages: DataFrame, labelled: DataFrame, key: str = "page_id") -> DataFrame:
-    """The same of pages with the columns url and html; labelled: doc_id, text, lang."""
-    langs, model = train(labelled, "doc_id", "text", "lang")
+def identify_pages(pages: DataFrame, model: Model, key: str = "page_id") -> DataFrame:
+    """The same of pages with the columns url and html."""
     rows = page_evidence(pages.select(key, "url", "html"))
     scored = score_texts(rows, [key], "html", ["host", "domain", "declared", "suffix"], model, markup=True)
-    return fuse(scored, langs, "host", "domain", "declared", "suffix").select(key, "declared", "identified", "confidence", "accepted")
+    return fuse(scored, model.langs, "host", "domain", "declared", "suffix").select(key, "declared", "identified", "confidence", "accepted")
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +45,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source is the host) and pages, one row each."""
-    from tessera.llm.language import identify_documents, identify_pages
+    from tessera.llm.language import identify_documents, identify_pages, train
 
     docs = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("long")
-    a = identify_documents(docs).select("doc_id", none.alias("page_id"), "declared", "identified", "confidence", "accepted")
-    b = identify_pages(table(spark, sf_dir, "pages"), docs)
+    model = train(docs, "doc_id", "text", "lang")
+    a = identify_documents(docs, model=model).select("doc_id", none.alias("page_id"), "declared", "identified", "confidence", "accepted")
+    b = identify_pages(table(spark, sf_dir, "pages"), model)
     b = b.select(none.alias("doc_id"), "page_id", "declared", "identified", "confidence", "accepted")
     return a.unionByName(b)
 

@@ -10,10 +10,12 @@ wherever they stand, and different values different ones. Cards and bank account
 check digits; dates walk the cycle until they fall into the range, and form, again. Digits that
 look like a card but fail its check stay as they are, and no other kind takes parts of them.
 
-Letters of e-mail addresses are permuted in the same way as base-26 digits.
+Letters of e-mail addresses are permuted, as lower-case, in the same way as base-26 digits;
+their case stays. Addresses of reserved networks may come out of ordinary ones.
 
 All columns are built-in functions; nothing is shuffled, so a value that a third of all
-rows hold costs what any other does. The round function is a keyed SHA-256 prefix.
+rows hold costs what any other does. The round function is a keyed SHA-256 prefix. The key
+comes to the tasks as a one-row table, which is broadcast, so it isn't in plans or logs.
 
 Cases: null text stays null; an empty text stays empty; overlapping finds go to the kind
 named first; repeated rows get equal results; extra columns are kept; an empty table gives
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.spans import SPAN, find_spans, replaced
+from tessera.llm.spans import let as _let
 
 ROUNDS = 8
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +40,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9])",
+    "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
@@ -50,33 +53,37 @@ NONE = -1
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 
 
-def _round(key: str, n, half: Column, size: Column, radix: int) -> Column:
-    """A keyed number below radix^size, from 15 hexadecimal digits of SHA-256."""
-    h = F.sha2(F.concat(F.lit(f"{key}|{radix}|"), F.lit(n).cast("string"), F.lit("|"), size.cast("string"), F.lit("|"), half.cast("string")), 256)
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % F.pow(F.lit(float(radix)), size).cast("long")
+def _round(key: Column, n, half: Column, below: Column) -> Column:
+    """A keyed number below a bound, from 15 hexadecimal digits of SHA-256."""
+    h = F.sha2(F.concat(key, F.lit("|"), F.lit(n).cast("string"), F.lit("|"), below.cast("string"), F.lit("|"), half.cast("string")), 256)
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % below
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+def feistel(x: Column, left: Column, right: Column, key: Column) -> Column:
+    """A keyed permutation of pairs (a, b) with a below left and b below right.
 
-
-def feistel_number(x: Column, left: Column, right: Column, key: str, radix: int = 10) -> Column:
-    """A keyed permutation of the numbers below radix^(left + right), as halves of a string.
-
-    x: struct of the numbers a (left digits) and b (right digits). Rounds alternate between
-    the halves, each adding a keyed function of the other, so sizes may differ.
+    Rounds alternate between the halves, each adding a keyed function of the other, so their
+    sizes may differ.
     """
 
     def step(s: Column, n: Column) -> Column:
         even = n % 2 == 0
-        a = F.when(even, (s["a"] + _round(key, n, s["b"], left, radix)) % F.pow(F.lit(float(radix)), left).cast("long")).otherwise(s["a"])
-        b = F.when(even, s["b"]).otherwise((s["b"] + _round(key, n, s["a"], right, radix)) % F.pow(F.lit(float(radix)), right).cast("long"))
+        a = F.when(even, (s["a"] + _round(key, n, s["b"], left)) % left).otherwise(s["a"])
+        b = F.when(even, s["b"]).otherwise((s["b"] + _round(key, n, s["a"], right)) % right)
         return F.struct(a.alias("a"), b.alias("b"))
 
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), x, step)
 
 
-def permute_digits(digits: Column, key: str) -> Column:
+def _sub(key: Column, name: str) -> Column:
+    return F.concat(key, F.lit(f"|{name}"))
+
+
+def _power(radix: int, size: Column) -> Column:
+    return F.pow(F.lit(float(radix)), size).cast("long")
+
+
+def permute_digits(digits: Column, key: Column) -> Column:
     """A keyed permutation of the digit strings of each length (up to 36 digits); '' stays."""
     n = F.length(digits)
 
@@ -85,13 +92,13 @@ def permute_digits(digits: Column, key: str) -> Column:
         right = F.length(d) - left
         a = F.coalesce(F.substring(d, F.lit(1), left).try_cast("long"), F.lit(0).cast("long"))
         b = F.coalesce(F.substring(d, left + 1, right).try_cast("long"), F.lit(0).cast("long"))
-        out = feistel_number(F.struct(a.alias("a"), b.alias("b")), left, right, key)
+        out = feistel(F.struct(a.alias("a"), b.alias("b")), _power(10, left), _power(10, right), key)
         return _let(out, lambda s: F.concat(F.when(left > 0, F.lpad(s["a"].cast("string"), left, "0")).otherwise(""), F.lpad(s["b"].cast("string"), right, "0")))
 
     return F.when(n == 0, digits).otherwise(_let(digits, body))
 
 
-def permute_letters(word: Column, key: str) -> Column:
+def permute_letters(word: Column, key: Column) -> Column:
     """A keyed permutation of lower-case words: in groups of up to 10 letters, as base-26 numbers."""
 
     def body(w: Column) -> Column:
@@ -114,7 +121,7 @@ def permute_letters(word: Column, key: str) -> Column:
                     lambda acc: acc["t"],
                 )
             )
-            return _let(feistel_number(x, left, right, key, 26), lambda s: F.concat(text(s["a"], left), text(s["b"], right)))
+            return _let(feistel(x, _power(26, left), _power(26, right), key), lambda s: F.concat(text(s["a"], left), text(s["b"], right)))
 
         return F.array_join(F.transform(groups, group), "")
 
@@ -157,7 +164,7 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
-def card(value: Column, key: str) -> Column:
+def card(value: Column, key: Column) -> Column:
     """All digits but the last are permuted; the last keeps the Luhn check as it was (its
     difference from a valid check digit stays the same), so this is a permutation."""
 
@@ -172,14 +179,15 @@ def card(value: Column, key: str) -> Column:
 
 
 def _iso(value: Column) -> Column:
-    return F.substring(value, 5, 1) == "-"
+    return F.substring(value, 5, 1).isin("-", "/")
 
 
 def _day(value: Column) -> Column:
     parts = F.regexp_replace(value, "[./]", "-")
-    return F.when(_iso(value), F.try_to_date(value, "yyyy-MM-dd")).otherwise(
+    found = F.when(_iso(value), F.try_to_date(parts, "yyyy-MM-dd")).otherwise(
         F.coalesce(F.try_to_date(parts, "dd-MM-yyyy"), F.when(_month_first(value), F.try_to_date(parts, "MM-dd-yyyy")))
     )
+    return F.when(found.between(FIRST_DAY, LAST_DAY), found)
 
 
 def _month_first(value: Column) -> Column:
@@ -187,40 +195,52 @@ def _month_first(value: Column) -> Column:
     return (F.substring(value, 3, 1) == "/") & (F.substring(value, 4, 2) > "12")
 
 
-def date(value: Column, key: str) -> Column:
-    """The day number within 1900..2099 is permuted; cycle walking stays inside."""
+def _first() -> Column:
+    return F.lit(FIRST_DAY).cast("date")
+
+
+def _any_day(day: Column, key: Column) -> Column:
+    """The day's number within FIRST_DAY..LAST_DAY, permuted: there are 17 x 4297 of them."""
+    v = F.datediff(day, _first()).cast("long")
+    s = F.struct(F.floor(v / 4297).cast("long").alias("a"), (v % 4297).alias("b"))
+    out = feistel(s, F.lit(17).cast("long"), F.lit(4297).cast("long"), key)
+    return _let(out, lambda o: F.date_add(_first(), (o["a"] * 4297 + o["b"]).cast("int")))
+
+
+def _late_day(day: Column, key: Column) -> Column:
+    """The same among days after the 12th of a month: pairs of a month and one of 19 days.
+
+    Pairs that are no day (3 in 100) are permuted again until they are one. So many steps are
+    too few for a value in 10^90.
+    """
+    start = F.struct(((F.year(day) - 1900) * 12 + F.month(day) - 1).cast("long").alias("a"), (F.dayofmonth(day) - 13).cast("long").alias("b"))
+    once = lambda s: feistel(s, F.lit(2400).cast("long"), F.lit(19).cast("long"), key)
+    month = lambda s: F.add_months(_first(), s["a"].cast("int"))
+    is_day = lambda s: s["b"] + 13 <= F.dayofmonth(F.last_day(month(s)))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(60)), once(start), lambda s, i: F.when(is_day(s), s).otherwise(once(s)))
+    return _let(out, lambda s: F.date_add(month(s), (s["b"] + 12).cast("int")))
+
+
+def date(value: Column, key: Column) -> Column:
+    """Another date in the same form. Month-first dates stay among those that only month-first
+    reading gives, so that both ways of reading are permutations."""
     iso, day, turned = _iso(value), _day(value), _month_first(value)
-    count = 73049  # days from FIRST_DAY to LAST_DAY
-    bits = 17
-
-    def once(v: Column) -> Column:
-        s = F.struct(F.shiftright(v, 8).alias("a"), v.bitwiseAND(255).alias("b"))
-        out = feistel_number(s, F.lit(bits - 8), F.lit(8), key, 2)
-        return _let(out, lambda o: o["a"] * 256 + o["b"])
-
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.when(turned, F.lit(64)).otherwise(F.lit(16))),
-        once(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")),
-        lambda acc, i: F.when(
-            (acc < count) & (~turned | (F.dayofmonth(F.date_add(F.lit(FIRST_DAY).cast("date"), acc.cast("int"))) > 12)), acc
-        ).otherwise(once(acc)),
-    )
-    # (2^17 / 73049 makes 16 more walks enough but for one value in 100 thousand, which is masked)
-    moved = F.when(walked < count, F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")))
-    sep = F.substring(value, 3, 1)
-    # month-first dates stay among the days that only month-first reading gives
-    shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(turned, F.date_format(moved, "MM/dd/yyyy")).otherwise(
-        F.concat_ws("", F.date_format(moved, "dd"), sep, F.date_format(moved, "MM"), sep, F.date_format(moved, "yyyy"))
-    )
-    return F.when(day.isNull(), value).otherwise(F.when(moved.isNull(), F.regexp_replace(value, "[0-9]", "0")).otherwise(shown))
+    moved = F.when(turned, _late_day(day, _sub(key, "late"))).otherwise(_any_day(day, key))
+    sep = F.when(iso, F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
+
+    def shown(d: Column) -> Column:
+        y, m, n = (F.date_format(d, x) for x in ("yyyy", "MM", "dd"))
+        return F.when(iso, F.concat_ws("", y, sep, m, sep, n)).when(turned, F.concat_ws("", m, sep, n, sep, y)).otherwise(F.concat_ws("", n, sep, m, sep, y))
+
+    return F.when(day.isNull(), value).otherwise(_let(moved, shown))
 
 
-def ip(value: Column, key: str) -> Column:
+def ip(value: Column, key: Column) -> Column:
     """The address as a number of 32 bits, permuted."""
     parts = F.split(value, r"\.")
     part = lambda i: F.get(parts, F.lit(i)).cast("long")
     s = F.struct((part(0) * 256 + part(1)).alias("a"), (part(2) * 256 + part(3)).alias("b"))
-    out = feistel_number(s, F.lit(16), F.lit(16), key, 2)
+    out = feistel(s, F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), key)
     return _let(
         out,
         lambda o: F.concat_ws(
@@ -233,17 +253,20 @@ def ip(value: Column, key: str) -> Column:
     )
 
 
-def numbers(value: Column, key: str) -> Column:
+def numbers(value: Column, key: Column) -> Column:
     return _put_back(value, permute_digits(_digits(value), key))
 
 
-def email(value: Column, key: str) -> Column:
-    """Letters (as lower case) and digits of the name and of the host but its last label."""
+def email(value: Column, key: Column) -> Column:
+    """Letters and digits of the name and of the host but its last label. Addresses that
+    differ in case alone are one, and get pseudonyms that differ in case alone."""
     tail = F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
-    head = F.lower(F.substring(value, F.lit(1), F.length(value) - F.length(tail)))
-    letters = permute_letters(F.regexp_replace(head, "[^a-z]", ""), key)
-    moved = _put_back(head, letters, "[a-z]")
-    return F.concat(_put_back(moved, permute_digits(_digits(head), key)), tail)
+    head = F.substring(value, F.lit(1), F.length(value) - F.length(tail))
+    low = F.lower(head)
+    letters = permute_letters(F.regexp_replace(low, "[^a-z]", ""), key)
+    moved = _put_back(_put_back(low, letters, "[a-z]"), permute_digits(_digits(head), key))
+    cased = F.zip_with(F.split(moved, ""), F.split(head, ""), lambda m, c: F.when(c.rlike("[A-Z]"), F.upper(m)).otherwise(m))
+    return F.concat(F.when(head == low, moved).otherwise(F.array_join(cased, "")), tail)
 
 
 def mod97(account: Column) -> Column:
@@ -256,10 +279,10 @@ def mod97(account: Column) -> Column:
     )
 
 
-def iban(value: Column, key: str) -> Column:
+def iban(value: Column, key: Column) -> Column:
     """Letters stay; all digits but the check digits are permuted, and those made anew."""
     bare = F.replace(value, F.lit(" "), F.lit(""))
-    moved = numbers(F.substring(value, F.lit(5), F.length(value)), f"{key}|2")
+    moved = numbers(F.substring(value, F.lit(5), F.length(value)), _sub(key, "2"))
 
     def checked(rest: Column) -> Column:
         start = F.concat(F.substring(bare, 1, 2), F.lit("00"))
@@ -313,17 +336,24 @@ def find_personal(text: Column) -> Column:
     return F.array_sort(F.filter(found, lambda s: s["kind"] != NONE))
 
 
-def pseudonym(span: Column, key: str) -> Column:
+def pseudonym(span: Column, key: Column) -> Column:
     out = F.lit("")
     for k, kind in enumerate(KINDS):
-        out = F.when(span["kind"] == k, HOW[kind](span["value"], f"{key}|{kind}")).otherwise(out)
+        out = F.when(span["kind"] == k, HOW[kind](span["value"], _sub(key, kind))).otherwise(out)
     return out
 
 
-def pseudonymise(df: DataFrame, text: str = "text", secret: str = "", spans: str = "pii_spans") -> DataFrame:
-    """df with the text's personal data replaced, and the spans found in the original text."""
-    if not secret:
-        raise ValueError("a secret key is needed")
+def pseudonymise(df: DataFrame, text: str = "text", secret: str | DataFrame = "", spans: str = "pii_spans") -> DataFrame:
+    """df with the text's personal data replaced, and the spans found in the original text.
+
+    secret: the key, or a table whose one row and column is the key.
+    """
+    if isinstance(secret, str):
+        if not secret:
+            raise ValueError("a secret key is needed")
+        secret = df.sparkSession.createDataFrame([(secret,)], "key string")
+    held = "__tessera_key"
     found = df.withColumn(spans, find_personal(F.coalesce(F.col(text), F.lit(""))))
-    new = replaced(F.col(text), F.col(spans), lambda s: pseudonym(s, secret))
-    return found.withColumn(text, new)
+    found = found.join(F.broadcast(secret.toDF(held).limit(1)), F.lit(True))
+    new = replaced(F.col(text), F.col(spans), lambda s: pseudonym(s, F.col(held)))
+    return found.withColumn(text, new).drop(held)

@@ -69,6 +69,7 @@ def labelled_samples(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_D
             F.upper(x),
             F.concat(F.lower(x), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))),
             F.concat_ws("_", F.lower(x), F.lower(F.get("w", i + 1))),
+            F.concat_ws("_", F.upper(x), F.upper(F.get("w", i + 1)), F.upper(F.get("w", i + 2))),
             F.concat_ws("-", F.lower(x), F.lower(F.get("w", i + 1))),
             F.concat_ws("/", F.lower(x), F.lower(F.get("w", i + 1)), F.lower(F.get("w", i + 2))),
         ),
@@ -163,15 +164,8 @@ def stretches(run: Column, ratios: list[float]) -> Column:
 
 def without(text: Column, spans: Column) -> Column:
     """The text with blanks in the place of spans (sorted by start)."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    blank = lambda n: F.repeat(F.lit(" "), n)
+    return replaced(text, spans, lambda s: blank(s["end"] - s["start"]), blank)
 
 
 def base_spans(text: Column) -> Column:

@@ -32,5 +32,32 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == left[4]
 
 
+def test_stages_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
+    """Every stage but the last keeps the columns and what it doesn't read; the last packs every row."""
+    rng = random.Random(4)
+    words = "the and of that with from this there when other more than some into".split()
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    long, text = prose(60_000), prose(90)
+    rows = [(1, long, "en", "s"), (2, text, None, None), (3, prose(70), "en", None), (3, prose(70), None, "s"), (None, prose(60), "en", "s"), (4, None, None, None), (5, "", "en", "s"), (6, text, "en", "s"), (6, text, "en", "s")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, rep long, locator string, class_id long, identified string, host string"
+    full = [(i, t, a, b, len(t or ""), "kept", None, 7, "x", 8, "y", None) for i, t, a, b in rows]
+    # rows that must be left; the exact stage knows equal texts, and a null key is no key to go by
+    left = {
+        "language": lambda r: r.text, "exact_dedup": lambda r: r.doc_id not in (2, 4), "near_dedup": lambda r: r.doc_id not in (5, 6), "secrets": lambda r: True,
+    }
+    docs = spark.createDataFrame(full, names).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name == "packing":
+            whole = {(r.doc_id, r.doc_tokens) for r in got}
+            assert {i for i, _ in whole} == {1, 2, 3, 4, 5, 6, None} and (4, 1) in whole
+            continue
+        assert none.columns == docs.columns and none.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        want = [r for r in docs.collect() if left[name](r)]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+
+
 def test_one_query_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

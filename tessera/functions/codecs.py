@@ -79,8 +79,12 @@ def decode_float(raw: Column, size: int, little: bool = False) -> Column:
     @F.pandas_udf(T.FloatType() if size == 4 else T.DoubleType())
     def floats(column):
         import numpy as np
+        import pandas as pd
 
-        return column.map(lambda b: None if b is None or len(b) != size else np.frombuffer(b, kind)[0].item())
+        fits = np.array([b is not None and len(b) == size for b in column], bool)
+        out = np.full(len(column), None, object)
+        out[fits] = np.frombuffer(b"".join(column[fits]), kind).tolist()
+        return pd.Series(out, dtype=object)
 
     return floats(raw)
 

@@ -5,10 +5,15 @@ Each is one plan over a DataFrame; nothing is collected but what is a report by
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.scalars import digit_string
+from tessera.plans.layout import Layout
 
 Cases = list[tuple[str, Column]]
 
@@ -40,38 +45,119 @@ def builder(layout: str) -> Callable[[DataFrame], DataFrame]:
     return BUILDERS[layout]
 
 
-def schema_errors(schema: dict) -> Column:
-    """An array of messages, one per rule of a JSON Schema (an object's) that a row breaks."""
-    needed = set(schema.get("required", []))
-    tests: list[tuple[Column, str]] = []
-    for name, p in schema.get("properties", {}).items():
-        c = F.col(f"`{name}`")
-        if name in needed:
-            tests.append((c.isNull(), f"'{name}' is a required property"))
-        # a pair: what fails, and what to say
-        for key, fails in {
-            "minimum": lambda v, c=c: c < F.lit(v),
-            "maximum": lambda v, c=c: c > F.lit(v),
-            "exclusiveMinimum": lambda v, c=c: c <= F.lit(v),
-            "exclusiveMaximum": lambda v, c=c: c >= F.lit(v),
-            "minLength": lambda v, c=c: F.length(c) < F.lit(v),
-            "maxLength": lambda v, c=c: F.length(c) > F.lit(v),
-            "pattern": lambda v, c=c: ~c.rlike(v),
-            "enum": lambda v, c=c: ~c.isin(*v),
-            "const": lambda v, c=c: c != F.lit(v),
-        }.items():
-            if key in p:
-                tests.append((fails(p[key]), f"'{name}' breaks {key} {p[key]}"))
+Tests = list[tuple[Column, str]]
+
+
+def schema_errors(schema: dict, kinds: T.StructType | None = None) -> Column:
+    """An array of messages, one per rule of a JSON Schema (an object's) that a row breaks.
+
+    Nested objects and arrays are checked through; an array's item rule counts once. A null
+    is a property that isn't there. kinds: the row's Spark schema, by which `type`,
+    `additionalProperties` and nested values are checked.
+    """
+    tests = _object_tests(schema, lambda n: F.col(f"`{n}`"), kinds, "")
+    tests += _combined(schema, lambda s: _object_tests(s, lambda n: F.col(f"`{n}`"), kinds, ""), "the row")
     return F.array_compact(F.array(*[F.when(bad, F.lit(said)) for bad, said in tests], F.lit(None).cast("string")))
 
 
-def is_valid(schema: dict) -> Column:
-    return F.size(schema_errors(schema)) == 0
+def _object_tests(schema: dict, get: Callable[[str], Column], kinds: T.StructType | None, path: str) -> Tests:
+    needed = schema.get("required", [])
+    known = None if kinds is None else {f.name: f.dataType for f in kinds.fields}
+    tests: Tests = []
+    for name in dict.fromkeys([*schema.get("properties", {}), *needed]):
+        rules, full = schema.get("properties", {}).get(name, {}), f"{path}{name}"
+        if known is not None and name not in known:
+            if name in needed:
+                tests.append((F.lit(True), f"'{full}' is a required property"))
+            continue
+        c = get(name)
+        if name in needed:
+            tests.append((c.isNull(), f"'{full}' is a required property"))
+        tests += _value_tests(rules, c, known and known[name], full)
+    if schema.get("additionalProperties") is False:
+        tests += [(get(n).isNotNull(), f"'{path}{n}' is not expected") for n in known or {} if n not in schema.get("properties", {})]
+    return tests
+
+
+def _value_tests(rules: dict, c: Column, kind: T.DataType | None, path: str) -> Tests:
+    """What a value breaks. Each test is false or null for a null."""
+    tests: Tests = []
+    if kind is not None and "type" in rules:
+        names = [rules["type"]] if isinstance(rules["type"], str) else rules["type"]
+        fits = [_has_type(c, kind, n) for n in names]
+        bad = F.lit(True)
+        for f in fits:
+            bad = bad & ~f
+        tests.append((c.isNotNull() & bad, f"'{path}' breaks type {rules['type']}"))
+    # a pair: what fails, and what to say
+    for key, fails in {
+        "minimum": lambda v: c < F.lit(v),
+        "maximum": lambda v: c > F.lit(v),
+        "exclusiveMinimum": lambda v: c <= F.lit(v),
+        "exclusiveMaximum": lambda v: c >= F.lit(v),
+        "multipleOf": lambda v: F.abs(c / F.lit(v) - F.round(c / F.lit(v))) > 1e-9,
+        "minLength": lambda v: F.length(c) < F.lit(v),
+        "maxLength": lambda v: F.length(c) > F.lit(v),
+        "pattern": lambda v: ~c.rlike(v),
+        "enum": lambda v: ~c.isin(*v),
+        "const": lambda v: c != F.lit(v),
+        "minItems": lambda v: c.isNotNull() & (F.size(c) < v),
+        "maxItems": lambda v: c.isNotNull() & (F.size(c) > v),
+        "uniqueItems": lambda v: F.size(F.array_distinct(c)) < F.size(c) if v else F.lit(False),
+    }.items():
+        if key in rules:
+            tests.append((fails(rules[key]), f"'{path}' breaks {key} {rules[key]}"))
+    if isinstance(kind, T.StructType):
+        inner = _object_tests(rules, lambda n: c.getField(n), kind, f"{path}.")
+        tests += [(c.isNotNull() & bad, said) for bad, said in inner]
+    if isinstance(kind, T.ArrayType) and "items" in rules:
+        of = lambda x: _value_tests(rules["items"], x, kind.elementType, f"{path}[]")
+        said = [m for _, m in of(F.lit(None).cast(kind.elementType))]
+        some = lambda i: F.exists(c, lambda x: F.coalesce(of(x)[i][0], F.lit(False)))
+        tests += [(some(i), m) for i, m in enumerate(said)]
+    return tests + _combined(rules, lambda s: _value_tests(s, c, kind, path), f"'{path}'", c)
+
+
+def _combined(rules: dict, of: Callable[[dict], Tests], what: str, value: Column | None = None) -> Tests:
+    """allOf, anyOf, oneOf and not."""
+
+    def broken(s: dict) -> Column:
+        bad = F.lit(False)
+        for b, _ in of(s):
+            bad = bad | F.coalesce(b, F.lit(False))
+        return bad
+
+    there = F.lit(True) if value is None else value.isNotNull()
+    tests: Tests = [t for s in rules.get("allOf", []) for t in of(s)]
+    if "anyOf" in rules:
+        tests.append((there & functools.reduce(lambda a, b: a & b, [broken(s) for s in rules["anyOf"]]), f"{what} breaks anyOf"))
+    if "oneOf" in rules:
+        met = functools.reduce(lambda a, b: a + b, [(~broken(s)).cast("int") for s in rules["oneOf"]])
+        tests.append((there & (met != 1), f"{what} breaks oneOf"))
+    if "not" in rules:
+        tests.append((there & ~broken(rules["not"]), f"{what} breaks not"))
+    return tests
+
+
+def _has_type(c: Column, kind: T.DataType, name: str) -> Column:
+    """Whether a value that isn't null has a type of JSON Schema; whole numbers are integers."""
+    if name == "integer" and isinstance(kind, T.FractionalType):
+        return c == F.floor(c)
+    text = T.StringType | T.BinaryType | T.DateType | T.TimestampType | T.TimestampNTZType
+    own = {
+        "integer": T.IntegralType, "number": T.NumericType, "string": text, "boolean": T.BooleanType,
+        "array": T.ArrayType, "object": T.StructType | T.MapType, "null": T.NullType,
+    }
+    return F.lit(name in own and isinstance(kind, own[name]))
+
+
+def is_valid(schema: dict, kinds: T.StructType | None = None) -> Column:
+    return F.size(schema_errors(schema, kinds)) == 0
 
 
 def validated(df: DataFrame, schema: dict, fail_fast: bool = False, errors: str = "errors") -> DataFrame:
     """df with its errors; fail_fast stops the job at the first row that has any."""
-    out = df.withColumn(errors, schema_errors(schema))
+    out = df.withColumn(errors, schema_errors(schema, df.schema))
     if not fail_fast:
         return out
     stop = F.raise_error(F.concat(F.lit("invalid row: "), F.array_join(errors, "; ")))
@@ -81,10 +167,21 @@ def validated(df: DataFrame, schema: dict, fail_fast: bool = False, errors: str
 def outcomes(df: DataFrame, accepted: Column, schema: dict, outcome: str = "outcome") -> DataFrame:
     """reject (no case takes it), invalid (breaks the schema) or process."""
     return df.withColumn(
-        outcome, F.when(~F.coalesce(accepted, F.lit(False)), "reject").when(~is_valid(schema), "invalid").otherwise("process")
+        outcome, F.when(~F.coalesce(accepted, F.lit(False)), "reject").when(~is_valid(schema, df.schema), "invalid").otherwise("process")
     )
 
 
+def zip_code(text: Column) -> Column:
+    """A postal code of 5 digits, or of 9 where it has a hyphen or more than 5; padded with zeros."""
+    bare = F.regexp_replace(text, "-", "")
+    return F.when(text.contains("-") | (F.length(text) > 5), digit_string(9, bare)).otherwise(digit_string(5, bare))
+
+
+def cleansed(df: DataFrame, keep: Column, **columns: Column) -> DataFrame:
+    """A builder that drops rows: those that meet keep, with the cleaned columns."""
+    return build(df.where(F.coalesce(keep, F.lit(False))), **columns)
+
+
 def audit_counts(df: DataFrame, **tests: Column) -> DataFrame:
     """One row: rows read, and rows that meet each test; one pass for all."""
     return df.agg(F.count(F.lit(1)).alias("read"), *[F.count_if(t).alias(n) for n, t in tests.items()])
@@ -144,3 +241,12 @@ def by_sheet(cells: DataFrame, pattern: str) -> DataFrame:
 def header_detail(records: DataFrame, per: str = "file") -> tuple[DataFrame, DataFrame]:
     """The first record of each file, and the others."""
     return records.where("rec_no = 0"), records.where("rec_no > 0")
+
+
+def rebound(records: DataFrame, header: Layout, detail: Layout, first: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Mid-file change of schema: the first records of each file by one layout, the rest by another.
+
+    Both read the same scan, and carry file and rec_no.
+    """
+    own = ["file", "rec_no"]
+    return records.where(F.col("rec_no") < first).select(*own, *header.values()), records.where(F.col("rec_no") >= first).select(*own, *detail.values())

@@ -146,6 +146,10 @@ def structure(entries: Iterable[tuple[str, str]]) -> list[Entry]:
 
 def parse_copybook(text: str, free: bool = False, replacing: Iterable[tuple[str, str]] = ()) -> list[Entry]:
     """All record descriptions of a copybook. free: text has no columns to cut."""
+    replacing = list(replacing)
+    if free:
+        for old, new in replacing:
+            text = text.replace(old, new)
     lines = text.splitlines() if free else reference_format(text, replacing)
     return structure(sentences(lines))
 

@@ -21,7 +21,7 @@ ATOMIC = {"null", "boolean", "integer", "number", "string", "decimal"}
 Number = int | Column
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """A schema node. kind: atom, array, object, oneOf or ref."""
 
@@ -34,6 +34,12 @@ class Node:
     def json(self) -> dict:
         return self.schema
 
+    def __eq__(self, other: object) -> bool:
+        """Equal schemas describe equal records; where a schema stands (its name) counts too."""
+        return isinstance(other, Node) and (self.kind, self.name, self.schema, self.ref) == (other.kind, other.name, other.schema, other.ref)
+
+    __hash__ = object.__hash__
+
     @property
     def item(self) -> Node:
         return self.children["items"]
@@ -134,6 +140,13 @@ class Layout:
         self.places: dict[int, Place] = {}
         self.top = self._place(self.root, 0)
 
+    def __eq__(self, other: object) -> bool:
+        """Whether both lay the same schema over records in the same way."""
+        how = lambda x: (x.strict, x.charset, x.little, x.text, x.on_error, x.convert_text)
+        return isinstance(other, Layout) and self.root == other.root and how(self) == how(other)
+
+    __hash__ = object.__hash__
+
     # where things are
 
     def field_of(self, node: Node) -> picture.Field | None:
@@ -176,6 +189,9 @@ class Layout:
             if node.ref:
                 counter = self.places[id(self.anchors[node.ref])]
                 n: Number = F.coalesce(self.value(counter).cast("int"), F.lit(0))
+                if self.strict and (most := node.schema.get("maxItems")) is not None:
+                    said = F.concat(F.lit(f"{node.name} may have {most} items, not "), n.cast("string"))
+                    n = F.when(n > int(most), F.raise_error(said).cast("int")).otherwise(n)
             else:
                 n = int(node.schema.get("maxItems", node.schema.get("minItems", 1)))
             p = Place(node, at, times(first.size, n), count=n)
@@ -225,11 +241,8 @@ class Layout:
             return F.struct(*[self.value(c).alias(k) for k, c in p.parts.items()])
         if node.kind == "array":
             one = lambda i: self.value(p.item(i))
-            most = node.schema.get("maxItems")
             if isinstance(p.count, int):
                 places = F.array(*[F.lit(i) for i in range(p.count)]) if p.count <= 16 else F.sequence(F.lit(0), F.lit(p.count - 1))
-            elif most:
-                places = F.slice(F.sequence(F.lit(0), F.lit(max(int(most) - 1, 0))), F.lit(1), F.greatest(p.count, F.lit(0)))
             else:
                 places = F.filter(F.sequence(F.lit(0), F.greatest(p.count, F.lit(0))), lambda i: i < p.count)
             return F.transform(places, one)

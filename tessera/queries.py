@@ -246,7 +246,7 @@ def recfm_f(spark, d):
 
 @query(ORDER_SQL)
 def recfm_fb(spark, d):
-    return _framed(spark, d, "FB", split=True)
+    return _framed(spark, d, "FB")
 
 
 @query(ORDER_SQL)

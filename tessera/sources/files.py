@@ -44,13 +44,33 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
 
 @file_suffix(".csv")
 def read_csv(
-    spark: SparkSession, path: str, schema: dict | None = None, header: bool | None = None, converted: bool = False, sep: str = ",", **options
+    spark: SparkSession,
+    path: str,
+    schema: dict | None = None,
+    header: bool | None = None,
+    converted: bool = False,
+    sep: str = ",",
+    multiline: bool | None = None,
+    skip: int = 0,
+    **options,
 ) -> DataFrame:
-    """Cells are strings, empty ones ''. Without a schema the first row is the heading; with
-    one all rows are data, unless header says otherwise."""
+    """Cells are strings, empty ones ''. Without a schema the first row is the heading (of the
+    first file by name); with one all rows are data, unless header says otherwise.
+
+    multiline: whether cells may hold line feeds, which makes a file one task; None looks for
+    a line that quotes don't close. skip: lines to leave out at each file's start.
+    """
     header = (schema is None) if header is None else header
-    options = {"sep": sep, "escape": '"', "multiLine": True, "inferSchema": False} | options
-    first = spark.read.options(header=False, **options).csv(path).limit(1).first()
+    options = {"sep": sep, "escape": '"', "inferSchema": False} | options
+    if multiline is None and "multiLine" not in options:
+        multiline = has_open_quotes(spark, path, options.get("quote", '"'))
+    options["multiLine"] = bool(multiline) or options.get("multiLine", False)
+    if skip:
+        if options["multiLine"]:
+            raise ValueError("lines can't be left out where cells hold line feeds")
+        return _skipped_csv(spark, path, schema, header, converted, skip, options)
+    names = sorted(spark.read.text(path).inputFiles())
+    first = next((r for n in names if (r := spark.read.options(header=False, **options).csv(n).limit(1).first()) is not None), None)
     if first is None:
         if schema is None:
             raise ValueError(f"{path} has no heading row")
@@ -63,35 +83,89 @@ def read_csv(
     return bind(cells, schema, lambda i: F.col(f"_c{i}"), converted)
 
 
+def has_open_quotes(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether a line has an odd number of quotes: a parallel scan that stops at the first."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(odd % 2 == 1).isEmpty()
+
+
+def lines_after(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """file, value: the lines of all files but the first `skip` of each, which lie in its first
+    split (of a file whose first split holds fewer lines, only those are left out)."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+
+    def work(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            names, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for name, start in zip(names, starts, strict=True):
+                seen[name] = seen.get(name, 0) + 1
+                keep.append(start > 0 or seen[name] > skip)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["file", "value"]).filter(pa.array(keep))
+
+    return lines.mapInArrow(work, "file string, value string") if skip else lines.select(F.col("file_path").alias("file"), "value")
+
+
+def _skipped_csv(spark: SparkSession, path: str, schema: dict | None, header: bool, converted: bool, skip: int, options: dict) -> DataFrame:
+    texts = {k: str(v) for k, v in options.items() if k not in ("multiLine", "inferSchema")}
+    if schema is None:
+        one = lines_after(spark, path, skip).orderBy("file").limit(1).first()
+        if one is None:
+            raise ValueError(f"{path} has no heading row after {skip} lines")
+        cells = spark.range(1).select(F.schema_of_csv(F.lit(one["value"]), texts).alias("s")).first()["s"]
+        width = len(T._parse_datatype_string(re.sub(r"^STRUCT<(.*)>$", r"\1", cells)).fields)
+        kind = ", ".join(f"_c{i} string" for i in range(width))
+        heading = spark.range(1).select(F.from_csv(F.lit(one["value"]), kind, texts).alias("c")).first()["c"]
+        schema = schema_from_heading([x or "" for x in heading])
+    width = 1 + max((p for _, p, _ in columns(schema)), default=0)
+    kind = ", ".join(f"_c{i} string" for i in range(width))
+    rows = lines_after(spark, path, skip + bool(header)).where(F.col("value") != "")
+    rows = rows.select(F.from_csv("value", kind, texts).alias("c")).select("c.*").na.fill("")
+    return bind(rows, schema, lambda i: F.col(f"_c{i}"), converted)
+
+
 @file_suffix(".tab", ".tsv")
 def read_tab(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, sep="\t", **options)
 
 
 @file_suffix(".json", ".ndjson", ".jsonnl")
-def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = None, mode: str = "FAILFAST", **options) -> DataFrame:
-    """A document per line, typed by a Spark schema (or by inference); a bad line fails."""
+def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = None, mode: str = "FAILFAST", skip: int = 0, **options) -> DataFrame:
+    """A document per line, typed by a Spark schema (or by inference); a bad line fails.
+    skip: lines to leave out at each file's start, which needs a schema."""
+    if skip:
+        if schema is None:
+            raise ValueError("a schema is needed where lines are left out")
+        rows = lines_after(spark, path, skip).where(F.trim("value") != "")
+        return rows.select(F.from_json("value", schema, {"mode": mode, **options}).alias("r")).select("r.*")
     reader = spark.read.options(mode=mode, **options)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_fixed_text(spark: SparkSession, path: str, schema: dict, converted: bool = True, paths: list[str] | None = None) -> DataFrame:
-    """Lines cut at running offsets. paths: fields to select, instead of all at the top."""
-    lines = spark.read.text(path)
+def read_fixed_text(
+    spark: SparkSession, path: str, schema: dict, converted: bool = True, paths: list[str] | None = None, skip: int = 0
+) -> DataFrame:
+    """Lines cut at running offsets. paths: fields to select, instead of all at the top. skip:
+    lines to leave out at each file's start."""
+    lines = lines_after(spark, path, skip)
     layout = Layout(schema, "value", text=True, convert_text=converted)
     return lines.select(*([layout.col(p).alias(p) for p in paths] if paths else layout.values()))
 
 
 def read_ebcdic(
-    spark: SparkSession, path: str, schema: dict, recfm: str = "N", lrecl: int | None = None, paths: list[str] | None = None, **how
+    spark: SparkSession, path: str, schema: dict, recfm: str = "N", lrecl: int | None = None, paths: list[str] | None = None, skip: int = 0, **how
 ) -> DataFrame:
-    """Records of a mainframe file, decoded; how: Layout's options."""
+    """Records of mainframe files, decoded. skip: bytes to leave out at each file's start;
+    how: Layout's options."""
     layout = Layout(schema, **how)
     if recfm.upper() in ("F", "FB"):
         lrecl = lrecl or layout.size
     elif recfm.upper() == "N" and isinstance(layout.top.size, int):
         recfm, lrecl = "F", layout.size  # records of one size need no walk
-    rows = read_records(spark, path, recfm, lrecl, None if recfm.upper() != "N" else layout.sizer)
+    rows = read_records(spark, path, recfm, lrecl, None if recfm.upper() != "N" else layout.sizer, skip)
     return rows.select(*([layout.col(p).alias(p) for p in paths] if paths else layout.values()))
 
 
@@ -132,6 +206,8 @@ def xlsx_sheets(raw: bytes):
         rows = []
         for row in root.iter(f"{{{_NS['m']}}}row"):
             cells: list[tuple[str, str | None]] = []
+            # rows that aren't there are empty ones
+            rows += [[]] * (int(row.get("r", len(rows) + 1)) - 1 - len(rows))
             for c in row.findall("m:c", _NS):
                 letters = re.match("[A-Z]*", c.get("r", ""))[0]
                 if letters:
@@ -164,10 +240,13 @@ def ods_sheets(raw: bytes):
     o, t, x = (f"{{urn:oasis:names:tc:opendocument:xmlns:{n}:1.0}}" for n in ("office", "table", "text"))
     root = ElementTree.parse(zipfile.ZipFile(io.BytesIO(raw)).open("content.xml")).getroot()
     for table in root.iter(f"{t}table"):
-        rows = []
+        rows, blank_rows = [], 0
         for row in table.iter(f"{t}table-row"):
             cells: list[tuple[str, str | None]] = []
-            for c in row.findall(f"{t}table-cell"):
+            blank_cells = 0
+            for c in row:
+                if c.tag not in (f"{t}table-cell", f"{t}covered-table-cell"):
+                    continue
                 kind = c.get(f"{o}value-type", "")
                 text = "\n".join("".join(p.itertext()) for p in c.findall(f"{x}p"))
                 if kind in ("float", "currency", "percentage"):
@@ -179,11 +258,17 @@ def ods_sheets(raw: bytes):
                 else:
                     cell = ("s" if kind else "", text)
                 times = int(c.get(f"{t}number-columns-repeated", "1"))
-                cells += [cell] * (times if cell[1] or times < 100 else 0)
-            while cells and not cells[-1][1]:
-                cells.pop()
+                if not cell[1]:  # counts where a cell follows; a sheet ends in thousands of these
+                    blank_cells += times
+                    continue
+                cells += [("", None)] * blank_cells + [cell] * times
+                blank_cells = 0
             times = int(row.get(f"{t}number-rows-repeated", "1"))
-            rows += [cells] * (times if cells else 0)
+            if not cells:
+                blank_rows += times
+                continue
+            rows += [[]] * blank_rows + [cells] * times
+            blank_rows = 0
         yield table.get(f"{t}name"), rows
 
 
@@ -209,15 +294,18 @@ def spreadsheet_cells(spark: SparkSession, path: str, parse) -> DataFrame:
 
 
 def _sheet(spark: SparkSession, path: str, parse, sheet: str | None, schema: dict | None, converted: bool) -> DataFrame:
+    """The rows of one sheet, or of all, which must then have one heading."""
     cells = spreadsheet_cells(spark, path, parse)
     if sheet is not None:
         cells = cells.where(F.col("sheet") == sheet)
     heading = schema is None
     if heading:
-        first = cells.where("row_no = 0").orderBy("file", "sheet").limit(1).first()
-        if first is None:
+        found = cells.where("row_no = 0").select(F.col("cells.value").alias("names")).distinct().limit(2).collect()
+        if not found:
             raise ValueError(f"{path} has no heading row")
-        schema = schema_from_heading([c["value"] or "" for c in first["cells"]])
+        if len(found) > 1:
+            raise ValueError(f"{path} has sheets with another heading than others: name one sheet, or give a schema")
+        schema = schema_from_heading([n or "" for n in found[0]["names"]])
     rows = cells.where("row_no > 0") if heading else cells
     return bind(rows, schema, lambda i: F.get(F.col("cells.value"), F.lit(i)), converted)
 
@@ -240,14 +328,57 @@ def list_sheets(spark: SparkSession, path: str) -> list[str]:
     return [r.sheet for r in spreadsheet_cells(spark, path, parse).select("sheet").distinct().orderBy("sheet").collect()]
 
 
-if importlib.util.find_spec("xlrd"):  # without the library the format isn't registered
+def xls_sheets(raw: bytes):
+    """The same of an old binary spreadsheet, by the xlrd library. Error cells hold their text."""
+    import xlrd
+
+    book = xlrd.open_workbook(file_contents=raw)
+
+    def cell(c) -> tuple[str, str | None]:
+        # the library's numbers of cell types
+        if c.ctype in (0, 6):
+            return "", None
+        if c.ctype == 3:
+            return "d", str(xlrd.xldate_as_datetime(c.value, book.datemode))
+        if c.ctype == 4:
+            return "b", "true" if c.value else "false"
+        if c.ctype == 5:
+            return "e", xlrd.error_text_from_code.get(c.value, str(c.value))
+        if c.ctype == 2:
+            return "n", str(int(c.value)) if float(c.value).is_integer() else str(c.value)
+        return "s", c.value
+
+    for s in book.sheets():
+        yield s.name, [[cell(c) for c in s.row(i)] for i in range(s.nrows)]
+
+
+def numbers_sheets(raw: bytes):
+    """The tables of a Numbers document, by the numbers_parser library: sheet::table."""
+    import tempfile
+
+    import numbers_parser
 
-    def xls_sheets(raw: bytes):
-        import xlrd
+    with tempfile.NamedTemporaryFile(suffix=".numbers") as f:  # the library opens paths only
+        f.write(raw)
+        f.flush()
+        for s in numbers_parser.Document(f.name).sheets:
+            for t in s.tables:
+                yield f"{s.name}::{t.name}", [[_number_cell(v) for v in row] for row in t.rows(values_only=True)]
 
-        for s in xlrd.open_workbook(file_contents=raw).sheets():
-            kinds = {0: "", 1: "s", 2: "n", 3: "n", 4: "b", 5: "e", 6: ""}
-            yield s.name, [[(kinds[c.ctype], str(c.value)) for c in s.row(i)] for i in range(s.nrows)]
+
+def _number_cell(v) -> tuple[str, str | None]:
+    if v is None:
+        return "", None
+    if isinstance(v, bool):
+        return "b", "true" if v else "false"
+    if isinstance(v, datetime):
+        return "d", str(v)
+    if isinstance(v, int | float):
+        return "n", str(int(v)) if float(v).is_integer() else str(v)
+    return "s", str(v)
+
+
+if importlib.util.find_spec("xlrd"):  # without the library the format isn't registered
 
     @file_suffix(".xls")
     def read_xls(spark, path, sheet: str | None = None, schema: dict | None = None, converted: bool = False) -> DataFrame:
@@ -256,18 +387,6 @@ if importlib.util.find_spec("xlrd"):  # without the library the format isn't reg
 
 if importlib.util.find_spec("numbers_parser"):
 
-    def numbers_sheets(raw: bytes):
-        import tempfile
-
-        import numbers_parser
-
-        with tempfile.NamedTemporaryFile(suffix=".numbers") as f:
-            f.write(raw)
-            f.flush()
-            for s in numbers_parser.Document(f.name).sheets:
-                for t in s.tables:
-                    yield f"{s.name}::{t.name}", [[("", None) if v is None else ("s", str(v)) for v in row] for row in t.rows(values_only=True)]
-
     @file_suffix(".numbers")
     def read_numbers(spark, path, sheet: str | None = None, schema: dict | None = None, converted: bool = False) -> DataFrame:
         return _sheet(spark, path, numbers_sheets, sheet, schema, converted)

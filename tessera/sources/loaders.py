@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,18 @@ def schema_from_metadata(sheet: DataFrame, name: str = "name", description: str
     }
 
 
-def schema_from_copybook(text: str, strict: bool = False, extended: bool = False, free: bool = False) -> dict:
+def schema_from_copybook(
+    text: str, strict: bool = False, extended: bool = False, free: bool = False, replacing: Iterable[tuple[str, str]] = ()
+) -> dict:
     """The first record description's schema."""
-    return schemas_from_copybook(text, strict, extended, free)[0]
+    return schemas_from_copybook(text, strict, extended, free, replacing)[0]
 
 
-def schemas_from_copybook(text: str, strict: bool = False, extended: bool = False, free: bool = False) -> list[dict]:
-    return [json_schema(e, strict, extended) for e in parse_copybook(text, free)]
+def schemas_from_copybook(
+    text: str, strict: bool = False, extended: bool = False, free: bool = False, replacing: Iterable[tuple[str, str]] = ()
+) -> list[dict]:
+    """All record descriptions' schemas. replacing: pairs of texts, as COPY ... REPLACING has them."""
+    return [json_schema(e, strict, extended) for e in parse_copybook(text, free, replacing)]
 
 
 def read_copybook(spark: SparkSession, path: str) -> str:

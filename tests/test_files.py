@@ -114,3 +114,130 @@ def test_stream(spark, tmp_path):
     query = stream_records(spark, f"file://{tmp_path}/in", layout).writeStream.format("memory").queryName("decoded").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.A for r in spark.table("decoded").collect()) == ["ab", "cd"]
+
+
+def test_delimited_files_of_many_lines(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for k in (2, 1):
+        (folder / f"{k}.csv").write_text("junk\nmore junk\nk,v\n" + "".join(f'{i},"a ""{i}"""\n' for i in range(k, 60, 2)))
+    got = files.read_csv(spark, f"file://{folder}", skip=2)
+    assert got.columns == ["k", "v"] and sorted(int(r.k) for r in got.collect()) == list(range(1, 60)) and got.where("k = '7'").first().v == 'a "7"'
+    schema = {"type": "object", "properties": {"v": {"type": "string", "position": 1}}}
+    assert files.read_csv(spark, f"file://{folder}", schema, skip=3).count() == 59
+    assert not files.has_open_quotes(spark, f"file://{folder}") and files.has_open_quotes(spark, put(tmp_path, "open.csv", TEXT))
+    path = put(tmp_path, "s.ndjson", '# a head\n{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in files.read_ndjson(spark, path, "a int", skip=1).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        files.read_ndjson(spark, path, skip=1)
+    fixed = {"type": "object", "properties": {"A": {"type": "string", "maxLength": 2}}}
+    assert [r.A for r in files.read_fixed_text(spark, put(tmp_path, "f.txt", "head\nab\ncd\n"), fixed, skip=1).collect()] == ["ab", "cd"]
+
+
+def ods(body):
+    ns = " ".join(f'xmlns:{p}="urn:oasis:names:tc:opendocument:xmlns:{p}:1.0"' for p in ("office", "table", "text"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", f'<office:document-content {ns}><table:table table:name="S">{body}</table:table></office:document-content>')
+    return out.getvalue()
+
+
+def test_cells_stay_in_their_columns():
+    text = lambda v: f'<table:table-cell office:value-type="string"><text:p>{v}</text:p></table:table-cell>'
+    row = lambda cells, n=1: f'<table:table-row table:number-rows-repeated="{n}">{cells}</table:table-row>'
+    wide = text("a") + '<table:table-cell table:number-columns-repeated="150"/>' + text("b") + '<table:table-cell table:number-columns-repeated="16000"/>'
+    merged = text("a") + '<table:covered-table-cell table:number-columns-repeated="2"/>' + text("d")
+    ((_, rows),) = files.ods_sheets(ods(row(wide) + row("<table:table-cell/>", 2) + row(merged, 2) + row("<table:table-cell/>", 10**6)))
+    assert [[v for _, v in r] for r in rows] == [["a", *[None] * 150, "b"], [], [], *[["a", None, None, "d"]] * 2]
+
+
+def test_row_gaps_and_other_headings(spark, tmp_path):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(xlsx())) as old, zipfile.ZipFile(raw, "w") as new:
+        for n in old.namelist():
+            text = old.read(n).decode()
+            new.writestr(n, text.replace('<row><c r="A2">', '<row r="5"><c r="A2">'))
+    ((_, rows),) = files.xlsx_sheets(raw.getvalue())
+    assert len(rows) == 5 and rows[1:4] == [[]] * 3 and rows[4][0] == ("n", "42")
+    cell = '<table:table-cell office:value-type="string"><text:p>%s</text:p></table:table-cell>'
+    (tmp_path / "two.ods").mkdir()
+    for n, head in (("1.ods", "a"), ("2.ods", "b")):
+        (tmp_path / "two.ods" / n).write_bytes(ods(f"<table:table-row>{cell % head}</table:table-row><table:table-row>{cell % 'x'}</table:table-row>"))
+    with pytest.raises(Exception, match="another heading"):
+        files.read_ods(spark, f"file://{tmp_path}/two.ods").collect()
+
+
+def test_formats_whose_libraries_are_absent(monkeypatch):
+    import sys
+    from datetime import datetime
+    from types import SimpleNamespace as New
+
+    cells = [New(ctype=c, value=v) for c, v in ((1, "t"), (2, 42.0), (2, 0.5), (3, 20708.0), (4, 1), (5, 7), (0, ""), (6, ""))]
+    sheet = New(name="S", nrows=1, row=lambda i: cells)
+    book = New(datemode=0, sheets=lambda: [sheet])
+    monkeypatch.setitem(
+        sys.modules, "xlrd",
+        New(open_workbook=lambda file_contents: book, xldate_as_datetime=lambda v, m: datetime(1956, 9, 10), error_text_from_code={7: "#DIV/0!"}),
+    )
+    want = [("s", "t"), ("n", "42"), ("n", "0.5"), ("d", "1956-09-10 00:00:00"), ("b", "true"), ("e", "#DIV/0!"), ("", None), ("", None)]
+    assert list(files.xls_sheets(b"")) == [("S", [want])]
+    table = New(name="T", rows=lambda values_only: [[1.0, "x", None, True, datetime(2020, 1, 2), 0.25]])
+    monkeypatch.setitem(sys.modules, "numbers_parser", New(Document=lambda path: New(sheets=[New(name="S", tables=[table])])))
+    want = [("n", "1"), ("s", "x"), ("", None), ("b", "true"), ("d", "2020-01-02 00:00:00"), ("n", "0.25")]
+    assert list(files.numbers_sheets(b"")) == [("S::T", [want])]
+    for suffix in (".xls", ".numbers"):
+        with pytest.raises(NotImplementedError):
+            files.read_any(None, "a" + suffix)
+
+
+def test_schemas_check_types_and_nested_values(spark):
+    df = spark.createDataFrame(
+        [(1, 2.0, "a", ("x", 5), [1, 2], "2024"), (2, 2.5, "b", (None, 50), [1, 1, 99], None), (3, None, "abc", None, None, "x")],
+        "id int, n double, s string, o struct<k:string,v:int>, xs array<int>, extra string",
+    )
+    rules = {
+        "properties": {
+            "id": {"type": "integer"}, "n": {"type": ["integer", "null"], "multipleOf": 2}, "s": {"anyOf": [{"const": "a"}, {"minLength": 3}], "not": {"const": "abc"}},
+            "o": {"type": "object", "required": ["k"], "properties": {"v": {"maximum": 10}}}, "xs": {"items": {"maximum": 10}, "uniqueItems": True, "maxItems": 2},
+        },
+        "additionalProperties": False,
+    }
+    got = {r.id: set(r.errors) for r in flow.validated(df, rules).collect()}
+    assert got[1] == {"'extra' is not expected"}
+    assert got[2] == {
+        "'n' breaks type ['integer', 'null']", "'n' breaks multipleOf 2", "'s' breaks anyOf", "'o.k' is a required property", "'o.v' breaks maximum 10",
+        "'xs[]' breaks maximum 10", "'xs' breaks uniqueItems True", "'xs' breaks maxItems 2",
+    }
+    assert got[3] == {"'s' breaks not", "'extra' is not expected"}
+    whole = {"oneOf": [{"required": ["n"]}, {"properties": {"id": {"minimum": 3}}}], "allOf": [{"properties": {"s": {"type": "number"}}}], "required": ["gone"]}
+    got = {r.id: set(r.errors) for r in flow.validated(df, whole).collect()}
+    other = {"'s' breaks type number", "'gone' is a required property"}
+    assert got == {1: other, 2: other, 3: other}
+    assert [r.v for r in df.select(flow.is_valid({"type": "object", "properties": {"s": {"type": "integer"}}}).alias("v")).collect()] == [True] * 3
+
+
+def test_cleansing_builder(spark):
+    df = spark.createDataFrame([("1020", "y"), ("123456789", "y"), ("12345-678", "y"), ("1", None)], "zip string, flag string")
+    got = flow.cleansed(df, F.col("flag") == "y", zip=flow.zip_code(F.col("zip"))).collect()
+    assert [r.zip for r in got] == ["01020", "123456789", "012345678"]
+
+
+def test_files_of_two_layouts(spark, tmp_path):
+    from tessera.sources.framing import read_records, write_records
+
+    head, body = (Layout(s) for s in loaders.schemas_from_copybook("01 H. 05 N PIC 9(2). 05 W PIC X(4). 01 D. 05 K PIC X(3). 05 V PIC 9(3). ", free=True))
+    for name in "ab":
+        (tmp_path / name).write_bytes(("02" + name * 4 + "xyz001" + "uvw002").encode("cp037"))
+    records = read_records(spark, f"file://{tmp_path}/[ab]", "F", 6)
+    first, rest = flow.rebound(records, head, body)
+    assert sorted(r.W for r in first.collect()) == ["aaaa", "bbbb"] and sorted((r.K, int(r.V)) for r in rest.collect()) == [("uvw", 2)] * 2 + [("xyz", 1)] * 2
+    assert head == Layout(loaders.schemas_from_copybook("01 H. 05 N PIC 9(2). 05 W PIC X(4). ", free=True)[0]) and head != body
+    out = f"file://{tmp_path}/out"
+    write_records(records.repartition(3), "record", out)
+    assert sorted(bytes(r.record) for r in read_records(spark, out, "F", 6).collect()) == sorted(bytes(r.record) for r in records.collect())
+    with pytest.raises(FileExistsError):
+        write_records(records, "record", out)
+    write_records(records.limit(1), "record", out, mode="append")
+    assert read_records(spark, out, "F", 6).count() == 7
+    write_records(records.limit(2), "record", out, mode="overwrite")
+    assert read_records(spark, out, "F", 6).count() == 2

@@ -259,3 +259,58 @@ def test_schemas_are_checked():
     ):
         with pytest.raises(ValueError):
             check_schema(bad)
+
+
+def test_arrays_beyond_their_bound(spark):
+    text = "01 R. 05 N PIC 9. 05 A PIC X OCCURS 0 TO 2 TIMES DEPENDING ON N. 05 Z PIC X. "
+    df = spark.createDataFrame([(bytearray(ebcdic("4abcdz")),)], "record binary")
+    loose = Layout(schema_from_copybook(text, free=True))
+    got = df.select(loose.col("A").alias("a"), loose.col("Z").alias("z")).first()
+    assert [x.A for x in got.a] == list("abcd") and got.z == "z"
+    strict = Layout(schema_from_copybook(text, free=True, strict=True), strict=True)
+    with pytest.raises(Exception, match="may have 2 items, not 4"):
+        df.select(strict.col("A")).collect()
+
+
+def test_replacing_reaches_the_loaders():
+    fixed = "       01  R.\n           05  'TAG'-A PIC X.\n           05  'TAG'-B PIC 9.\n"
+    got = schema_from_copybook(fixed, replacing=[("'TAG'", "NEW"), ("NEW-B", "OTHER")])
+    assert list(got["properties"]) == ["NEW-A", "OTHER"]
+    assert list(schema_from_copybook("01 R. 05 :T:-A PIC X. ", free=True, replacing=iter([(":T:", "X")]))["properties"]) == ["X-A"]
+
+
+def test_ranges_of_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(framing, "RANGE", 1000)
+    monkeypatch.setattr(framing, "WINDOW", 256)
+    recs = [bytes([i % 251]) * (20 + i % 7) for i in range(900)]
+    fixed = [r[:20] for r in recs]
+    v = [b"%c%c\0\0" % divmod(len(r) + 4, 256) + r for r in recs]
+    vb = [b"%c%c\0\0" % divmod(len(b) + 4, 256) + b for b in (b"".join(v[i : i + 7]) for i in range(0, 900, 7))]
+    for name, raw in (("f", b"".join(fixed) + b"xy"), ("v", b"".join(v)), ("b", b"".join(vb)), ("empty", b"")):
+        (tmp_path / name).write_bytes(b"head" + raw)
+        (tmp_path / (name + "2")).write_bytes(b"head" + raw)
+    read = lambda name, *how, **more: framing.read_records(spark, f"file://{tmp_path}/{name}", *how, skip=4, **more)
+    for name, want, how in (("f", [*fixed, b"xy"], ("F", 20)), ("v", recs, ("V",)), ("b", recs, ("VB",)), ("f", [*fixed, b"xy"], ("N", None, lambda raw: 20)), ("empty", [], ("VB",)), ("empty", [], ("F", 9))):
+        rows = read(name, *how).orderBy("rec_no").collect()
+        assert [bytes(r.record) for r in rows] == want and len({r.rec_no for r in rows}) == len(want)
+        assert read(name + "*", *how).count() == 2 * len(want)
+        assert sorted(bytes(r.record) for r in read(name, *how, whole=True).collect()) == sorted(want)
+    (tmp_path / "bad").write_bytes(b"head\x00\x20\x00\x00ab")
+    for recfm in ("V", "VB"):
+        with pytest.raises(Exception, match="says it has"):
+            read("bad", recfm).collect()
+
+
+def test_fixed_records_take_linear_time(spark, tmp_path):
+    import time
+
+    seconds = []
+    for n in (20_000, 200_000):
+        (tmp_path / str(n)).write_bytes(b"0123456789abcdefghij" * n)
+        for _ in range(2):
+            began = time.time()
+            files = spark.read.format("binaryFile").load(f"file://{tmp_path}/{n}")
+            assert framing.frame(files, "F", 20).count() == framing.read_records(spark, f"file://{tmp_path}/{n}", "F", 20).count() == n
+            took = time.time() - began
+        seconds.append(took)
+    assert seconds[1] < 10 * seconds[0] + 3  # ten times the records; squared, it would be a hundred

@@ -5,7 +5,11 @@ Records are synthesised from the tables, so SQL can tell what decoding must give
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,8 @@ from tessera.functions import scalars
 from tessera.functions.encode import encode_packed
 from tessera.operators import flow
 from tessera.operators.synth import Raw, assemble
-from tessera.plans.layout import Layout
+from tessera.plans.layout import Layout, compile_schema
+from tessera.plans.validate import schema_problems
 from tessera.sources import files, framing, loaders
 from tessera.sources.shared import scratch
 
@@ -528,3 +533,220 @@ def control_total(spark, d):
 @query("SELECT count(*) AS read, count(*) FILTER (NOT (o_custkey < 100 OR o_totalprice > 200000 OR o_orderstatus NOT IN ('F', 'O'))) AS processed, count(*) FILTER (o_custkey < 100 OR o_totalprice > 200000 OR o_orderstatus NOT IN ('F', 'O')) AS invalid FROM orders")
 def dry_run(spark, d):
     return flow.process(table(spark, d, "orders"), ORDER_RULES, None)
+
+
+# Whole readers, workbooks and schemas
+
+EBCDIC_SQL = "SELECT recfm, o_orderkey, o_custkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS o_totalprice FROM orders, (VALUES ('F'), ('FB'), ('V'), ('VB'), ('N')) t(recfm)"
+
+
+@query(EBCDIC_SQL)
+def ebcdic_scan(spark, d):
+    """Files of every record format, through read_ebcdic."""
+    lay = layout(ORDER)
+    schema = loaders.schema_from_copybook(ORDER, free=True)
+    out = None
+    for recfm in ("F", "FB", "V", "VB", "N"):
+        records, path = order_records(spark, d, lay), scratch(spark, "records")
+        if recfm == "V":
+            records = records.select(framing.with_rdw(C("record")).alias("record"))
+        elif recfm == "VB":
+            records = framing.blocks(records, "record", 50).withColumnRenamed("block", "record")
+        framing.write_records(records, "record", path)
+        rows = files.read_ebcdic(spark, path, schema, recfm, paths=["ORDERKEY", "CUSTKEY", "TOTAL"])
+        rows = rows.select(F.lit(recfm).alias("recfm"), C("ORDERKEY").cast("long").alias("o_orderkey"), C("CUSTKEY").cast("long").alias("o_custkey"), C("TOTAL").cast("double").alias("o_totalprice"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer")
+def write_any_record(spark, d):
+    """Records that end in any byte, written and read back."""
+    lay = layout("01 R. 05 KEY PIC 9(9). 05 NATION PIC S9(4) COMP. ")
+    path = scratch(spark, "records")
+    framing.write_records(coded(table(spark, d, "customer"), lay, {"KEY": C("c_custkey"), "NATION": C("c_nationkey")}), "record", path)
+    rows = pick(framing.read_records(spark, path, "F", lay.size), lay, c_custkey="KEY", c_nationkey="NATION")
+    return long(rows, "c_custkey").withColumn("c_nationkey", C("c_nationkey").cast("int"))
+
+
+@query("SELECT l_orderkey AS o_orderkey, CAST(l_linenumber AS BIGINT) AS lineno FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def occurs_beyond_bound(spark, d):
+    """Counts above the OCCURS clause's bound: every item is there."""
+    lay = layout(ODO.replace("0 TO 200", "0 TO 2"))
+    rows = odo_records(spark, d, lay).select("o_orderkey", F.explode(lay.col("ITEM")).alias("x"))
+    return rows.select("o_orderkey", C("x.LINENO").cast("long").alias("lineno"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer")
+def csv_skip_lines(spark, d):
+    """Files whose first line isn't data."""
+    schema = {"type": "object", "properties": {"key": {"type": "string", "position": 0}, "name": {"type": "string", "position": 1}}}
+    path = _csv(spark, table(spark, d, "customer").select("c_custkey", "c_name"), ".csv")
+    return files.read_csv(spark, path, schema, header=False, skip=1)
+
+
+def _rows(df: DataFrame) -> list[list]:
+    """A heading and the rows of a small dimension table."""
+    return [df.columns, *([*r] for r in df.orderBy(df.columns[0]).collect())]
+
+
+def _put(path: str, parts: dict[str, str]) -> str:
+    """A zip archive of XML parts."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    system, inner = framing._filesystem(path)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(raw.getvalue())
+    return path
+
+
+def _xlsx(spark: SparkSession, d: str) -> str:
+    """A workbook with the sheets nation and region."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rels = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    names = ["nation", "region"]
+    sheets = "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(names))
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rels}"><sheets>{sheets}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/{n}.xml"/>' for i, n in enumerate(names)) + "</Relationships>",
+    }
+    for n in names:
+        cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        rows = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in _rows(table(spark, d, n)))
+        parts[f"xl/worksheets/{n}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>'
+    return _put(scratch(spark, "book") + ".xlsx", parts)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def xlsx_scan(spark, d):
+    return files.read_any(spark, _xlsx(spark, d), sheet="nation")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
+def ods_scan(spark, d):
+    names = " ".join(f'xmlns:{p}="urn:oasis:names:tc:opendocument:xmlns:{p}:1.0"' for p in ("office", "table", "text"))
+    cell = lambda v: f'<table:table-cell office:value-type="string"><text:p>{escape(str(v))}</text:p></table:table-cell>'
+    rows = "".join(f"<table:table-row>{''.join(map(cell, r))}</table:table-row>" for r in _rows(table(spark, d, "region")))
+    text = f'<office:document-content {names}><table:table table:name="region">{rows}</table:table></office:document-content>'
+    return files.read_any(spark, _put(scratch(spark, "book") + ".ods", {"content.xml": text}), sheet="region")
+
+
+@query("SELECT * FROM (VALUES ('nation'), ('region')) t(sheet)")
+def sheet_listing(spark, d):
+    return spark.createDataFrame([(n,) for n in files.list_sheets(spark, _xlsx(spark, d))], "sheet string")
+
+
+@query("SELECT 'region' AS sheet, count(*) + 1 AS n FROM region")
+def sheet_filter(spark, d):
+    cells = files.spreadsheet_cells(spark, _xlsx(spark, d), files.xlsx_sheets)
+    return flow.key_frequency(flow.by_sheet(cells, "reg.*"), "sheet")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, CAST(NULL AS VARCHAR) AS gone FROM region")
+def missing_cell(spark, d):
+    """A schema with a column that the rows are too short for."""
+    schema = {"type": "object", "properties": {"r_regionkey": {"type": "string", "position": 0}, "gone": {"type": "string", "position": 9}}}
+    return files.read_xlsx(spark, _xlsx(spark, d), "region", schema).where(C("r_regionkey") != "r_regionkey")
+
+
+@query("SELECT n_nationkey, rtrim(substr(n_name, 1, 20)) AS n_name, (SELECT count(*) FROM nation) AS said FROM nation")
+def schema_rebinding(spark, d):
+    """A file whose first record has another layout than the rest."""
+    head, body = layout("01 H. 05 COUNT PIC 9(6). 05 FILLER PIC X(23). "), layout("01 N. 05 KEY PIC 9(9). 05 NAME PIC X(20). ")
+    nation = table(spark, d, "nation")
+    first = coded(nation.agg(F.count(F.lit(1)).alias("n")), head, {"COUNT": C("n")}).withColumn("k", F.lit(-1))
+    rest = coded(nation, body, {"KEY": C("n_nationkey"), "NAME": C("n_name")}, "n_nationkey").withColumnRenamed("n_nationkey", "k")
+    path = scratch(spark, "records")
+    framing.write_records(first.unionByName(rest).repartition(1).sortWithinPartitions("k"), "record", path)
+    header, detail = flow.rebound(framing.read_records(spark, path, "F", body.size), head, body)
+    rows = detail.join(header.select("file", "COUNT"), "file")
+    return rows.select(C("KEY").cast("int").alias("n_nationkey"), F.rtrim("NAME").alias("n_name"), C("COUNT").cast("long").alias("said"))
+
+
+@query("SELECT true AS has, false AS lacks")
+def expected_schema(spark, d):
+    orders = table(spark, d, "orders")
+    wants = lambda *names: {"properties": dict.fromkeys(names, {})}
+    return spark.range(1).select(F.lit(loaders.expects(orders, wants("o_orderkey"))).alias("has"), F.lit(loaders.expects(orders, wants("o_orderkey", "gone"))).alias("lacks"))
+
+
+@query("SELECT * FROM (VALUES ('#/properties/A: ''text'' is no type'), ('#/properties/B: an array needs items')) t(problem)")
+def meta_validation(spark, d):
+    bad = {"type": "object", "properties": {"A": {"type": "text"}, "B": {"type": "array"}, "C": {"type": "string", "maxLength": 3}}}
+    return spark.createDataFrame([(x,) for x in schema_problems(bad)], "problem string")
+
+
+FIXED_FORMAT = """\
+000100* A comment line
+000200 01  'TAG'-REC.
+000300     05  'TAG'-KEY    PIC 9(9).                                       IDENT001
+000400D    05  'TAG'-DEBUG  PIC X(90).
+           05  'TAG'-NAME   PIC
+      -    X(25).
+       EJECT
+           05  'TAG'-NATION PIC S9(4) COMP.
+"""
+
+
+@query("SELECT c_custkey, rtrim(substr(c_name, 1, 25)) AS c_name, c_nationkey FROM customer")
+def copybook_reference_format(spark, d):
+    """A copybook in columns 8 to 72, with REPLACING."""
+    lay = Layout(loaders.schema_from_copybook(FIXED_FORMAT, replacing=[("'TAG'", "CUST")]))
+    rows = coded(table(spark, d, "customer"), lay, {"CUST-KEY": C("c_custkey"), "CUST-NAME": C("c_name"), "CUST-NATION": C("c_nationkey")})
+    rows = long(pick(rows, lay, c_custkey="CUST-KEY", c_name="CUST-NAME", c_nationkey="CUST-NATION"), "c_custkey")
+    return rows.withColumns({"c_name": F.rtrim("c_name"), "c_nationkey": C("c_nationkey").cast("int")})
+
+
+@query("SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS s_acctbal, rtrim(substr(s_name, 1, 20)) AS s_name, 'decimal' AS kind FROM supplier")
+def extended_vocabulary(spark, d):
+    """Copybooks by the vocabulary with a type `decimal`."""
+    schema = loaders.schema_from_copybook("01 R. 05 KEY PIC 9(9). 05 BAL PIC S9(9)V99 COMP-3. 05 NAME PIC X(20). ", extended=True, free=True)
+    lay = Layout(schema)
+    rows = coded(table(spark, d, "supplier"), lay, {"KEY": C("s_suppkey"), "BAL": C("s_acctbal"), "NAME": C("s_name")})
+    rows = double(long(pick(rows, lay, s_suppkey="KEY", s_acctbal="BAL", s_name="NAME"), "s_suppkey"), "s_acctbal")
+    return rows.withColumns({"s_name": F.rtrim("s_name"), "kind": F.lit(schema["properties"]["BAL"]["type"])})
+
+
+@query("SELECT * FROM (VALUES (0, '-: object 01 R'), (1, '  A: string 05 A PIC X(3)'), (2, '  G: object 05 G'), (3, '    B: integer 10 B PIC S9(4) COMP')) t(i, line)")
+def schema_listing(spark, d):
+    root, _ = compile_schema(loaders.schema_from_copybook("01 R. 05 A PIC X(3). 05 G. 10 B PIC S9(4) COMP. ", free=True))
+    return spark.createDataFrame(list(enumerate(root.lines())), "i int, line string")
+
+
+@query("SELECT true AS same, false AS other, true AS same_records")
+def structural_equality(spark, d):
+    one, two, three = (layout(t) for t in ("01 R. 05 A PIC X. ", "01 R. 05 A PIC X. ", "01 R. 05 A PIC 9. "))
+    rows = [coded(table(spark, d, "region"), x, {"A": F.lit("q")}) for x in (one, two)]
+    return spark.range(1).select(F.lit(one == two).alias("same"), F.lit(one == three).alias("other"), F.lit(rows[0].exceptAll(rows[1]).isEmpty()).alias("same_records"))
+
+
+@query("SELECT 'event_type' || chr(10) || '==========' || chr(10) || chr(10) || string_agg(lpad(CAST(n AS VARCHAR), 12, ' ') || '  ''' || event_type || '''', chr(10) ORDER BY n DESC, event_type) || chr(10) AS report FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def profile_report(spark, d):
+    report = flow.profile_report(flow.profile(table(spark, d, "events"), ["event_type"]))
+    return spark.createDataFrame([(report,)], "report string")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def fail_fast(spark, d):
+    """Validation that would stop at the first bad row; there is none by these rules."""
+    rules = {"required": ["o_orderkey"], "properties": {"o_orderkey": {"type": "integer", "minimum": 0}, "o_totalprice": {"type": "number"}}}
+    return flow.validated(table(spark, d, "orders"), rules, fail_fast=True).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CAST(coalesce(CAST(json_extract(props, '$.k') AS BIGINT) > 50, false) AS INTEGER) + CAST(coalesce(value <> floor(value), false) AS INTEGER) AS n FROM events")
+def validate_nested(spark, d):
+    """Types, and rules of a nested value."""
+    events = table(spark, d, "events").select("event_id", "value", F.from_json("props", "k long").alias("p"))
+    rules = {"properties": {"event_id": {"type": "integer"}, "value": {"type": "integer"}, "p": {"type": "object", "properties": {"k": {"maximum": 50}}}}}
+    return flow.validated(events, rules).select("event_id", F.size("errors").alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN right('000000000' || CAST(c_custkey AS VARCHAR) || '1234', 9) ELSE right('00000' || CAST(c_custkey AS VARCHAR), 5) END AS zip FROM customer WHERE c_nationkey <> 0")
+def cleansing_builder(spark, d):
+    """Postal codes with and without a hyphen; rows without a flag go."""
+    zip_ = F.when(C("c_custkey") % 3 == 0, F.concat(C("c_custkey").cast("string"), F.lit("-1234"))).otherwise(C("c_custkey").cast("string"))
+    rows = table(spark, d, "customer").withColumn("zip", zip_)
+    return flow.cleansed(rows, C("c_nationkey") != 0, c_custkey=C("c_custkey"), zip=flow.zip_code(C("zip")))

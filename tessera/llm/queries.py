@@ -106,3 +106,22 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+ORACLE_SQL["op2_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+q AS (
+  SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last,
+    regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)', ['host', 'port', 'rest']) AS m
+  FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to,
+  CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://')
+    THEN array_to_string(list_reverse(string_split(regexp_replace(lower(m.host), '^www\d*\.', ''), '.')), ',') || m.port || ')'
+      || CASE WHEN m.rest = '' THEN '/' ELSE lower(m.rest) END
+    ELSE u END AS urlkey,
+  strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM q
+"""

@@ -125,11 +125,13 @@ def labelled_sample(labelled: DataFrame, key: str, text: str, lang: str, rows: i
     """text, lang and half (0 or 1) of at most `rows` rows of each language.
 
     A threshold on the hash, from the number of a language's rows, leaves little more than
-    `rows` of them before any are sorted.
+    `rows` of them before any are sorted. The table of those numbers is written, so Spark
+    knows its size: small enough to broadcast, no text is shuffled before the threshold.
     """
     top = 1 << 40
     known = labelled.where(F.col(lang).isNotNull())
     many = known.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    many = written(many, "languages")
     hashed = known.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key)), F.lit(top)).alias("_hash"))
     some = hashed.join(many, hashed["lang"] == many["_lang"])
     some = some.where(F.col("_hash") < F.lit(top) * F.least(F.lit(1.0), (1.3 * rows + 100) / F.col("_n")))

@@ -61,24 +61,38 @@ def _hashes() -> list[Column]:
 
 
 def _places(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of all shingles of some lines: 48 bits of hash."""
+    """(hash, line) of all shingles of some lines: 48 bits of hash.
+
+    A shingle of characters below 256 is five bytes, read in place; others are hashed first.
+    """
     size = np.array([len(x) for x in lines], np.int64)
     wide = np.maximum(size, NARROW)
-    ends = np.cumsum(wide)
+    starts = np.cumsum(wide) - wide
     text = "".join([x if len(x) >= NARROW else x.ljust(NARROW, "\0") for x in lines])
-    raw = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    chars = raw.astype(np.uint64) + np.uint64(1)
-    for i in np.flatnonzero(size < NARROW):
-        chars[ends[i] - NARROW + size[i] : ends[i]] = 0  # no character of a text
-    n = len(chars) - NARROW + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(NARROW):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += chars[i : n + i]
-    inside = np.ones(len(chars), bool)
+    n = len(text) - NARROW + 1
+    try:
+        raw = text.encode("latin-1") + bytes(8)
+        out = np.ndarray(n, "<u8", raw, strides=(1,)) & np.uint64((1 << 8 * NARROW) - 1)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        out, hashed, large = (np.zeros(n, t) for t in (np.uint64, np.uint64, bool))
+        for i in range(NARROW):
+            at = codes[i : n + i]
+            out |= (at & np.uint64(255)) << np.uint64(8 * i)
+            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + at
+            large |= at > 255
+        out[large] = hashed[large] | np.uint64(1 << 63)
+    short = size < NARROW  # how much is missing tells them from texts that end in zeros
+    out[starts[short]] ^= (NARROW - size[short]).astype(np.uint64) << np.uint64(8 * NARROW)
+    out ^= out >> np.uint64(31)
+    for by in (0x9E3779B97F4A7C15, 0x94D049BB133111EB):
+        out *= np.uint64(by)
+        out ^= out >> np.uint64(29)
+    out >>= np.uint64(16)
+    inside = np.ones(len(text), bool)
     for i in range(1, NARROW):
-        inside[ends - i] = False
-    return _mix(out[inside[:n]]) & _LOW, np.repeat(np.arange(len(lines), dtype=np.uint64), wide - NARROW + 1)
+        inside[starts[1:] - i] = False
+    return out[inside[:n]], np.repeat(np.arange(len(lines), dtype=np.uint64), wide - NARROW + 1)
 
 
 def _sorted(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +222,8 @@ def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
     dropped(led)
     sweep(spark)
 
-    found = only_marked(lines.select("line", *_hashes()), "h", placed.select("h"))
-    found = found.groupBy("h", "g").agg(F.first("line").alias("line"))
+    found = only_marked(lines.select("line", _hashes()[0]), "h", placed.select("h"))
+    found = found.withColumn("g", _hashes()[1]).groupBy("h", "g").agg(F.first("line").alias("line"))
     # lines are dealt out as texts: their shingle sets would take eight times the space
     dealt = dealt_members(found.join(placed, ["h", "g"]).select("rep", "groups", F.col("line").alias("grams")))
     links = written(verified_links(dealt, threshold, lambda texts: [x for part in parts_of(texts) for x in shingle_sets(part)]), "links")
@@ -237,7 +251,8 @@ def drop_similar_lines(df: DataFrame, key: str = "doc_id", text: str = "text", t
     gone = written(gone.groupBy(F.col("id.key").alias("__tessera_key")).agg(F.collect_set("id.no").alias("__tessera_gone")), "gone")
     dropped(hits, first)
     sweep(df.sparkSession)
-    out = df.join(gone, df[key] == F.col("__tessera_key"), "left")
+    # the plan is the same at every size: gone grows with the table
+    out = df.join(gone.hint("merge"), df[key] == F.col("__tessera_key"), "left")
     parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__tessera_gone", i)), "\n")
     return out.select(

@@ -18,6 +18,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", path, tokens=1024)
 
 
+def packing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on instruction data: each turn of `conversations` is an example, and what
+    assistants say bears loss, so that tokens, segments and loss all limit a sequence."""
+    from tessera.llm.packing import pack_turns
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    turns = table(spark, sf_dir, "conversations")
+    turns = turns.select(F.struct("conv_id", "turn").alias("at"), F.array(F.struct("role", "text")).alias("turns"))
+    out = pack_turns(turns, "at", "turns", path, tokens=1024, segments=16, loss=512)
+    return out.select("at.*", *[c for c in out.columns if c != "at"])
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pieces import digest_pieces
 
@@ -96,6 +108,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op1_packing": op1_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "packing_turns": packing_turns,
 }
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op9_exact_dedup"] = """

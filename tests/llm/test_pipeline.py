@@ -1,8 +1,12 @@
 """The pipeline against a plain Python version of its decisions."""
 
 import random
+from collections import defaultdict
+
+import public_tokenizers
 
 import corpus_pipeline
+from tessera.llm.packing import tokenizer
 from tessera.llm.queries import QUERIES
 
 
@@ -60,4 +64,24 @@ def test_stages_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert next(n for n in QUERIES if n.startswith("op1_")) == "op1_packing"
+
+
+def test_all_limits_bind_on_conversations(spark):
+    held = defaultdict(lambda: [0, 0, 0])
+    pieces = defaultdict(int)
+    for r in QUERIES["packing_turns"](spark, "/root/testdata/sf0.001").collect():
+        for k, v in enumerate((r.length, 1, r.loss_tokens)):
+            held[r.sequence_id][k] += v
+        pieces[r.conv_id, r.turn, r.doc_tokens] += r.length
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    lib = tokenizer(public_tokenizers.path("byte_bpe_50k.json")).lib
+    want = defaultdict(int)
+    for r in rows:
+        n = len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id, r.turn, n] += n
+    assert pieces == want
+    for k, most in enumerate((1024, 16, 512)):
+        assert max(x[k] for x in held.values()) <= most
+    assert max(x[1] for x in held.values()) == 16 and max(x[2] for x in held.values()) > 200

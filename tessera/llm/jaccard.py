@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,18 +164,22 @@ def _verify(block: np.ndarray, leaders: list[list[int]], leader: int, sets: list
         due = block[a] != block[b]
         a, b = a[due], b[due]
     # a pair is due under the smallest leader that both have
-    lower = sorted({x for own in leaders for x in own if x < leader})
-    if len(lower) and len(a):
-        at = {x: i for i, x in enumerate(lower)}
-        has = np.zeros((m, len(lower)), np.float32)
-        for i, own in enumerate(leaders):
-            for x in own:
-                if x < leader:
-                    has[i, at[x]] = 1
-        if m <= 6:
-            due = np.array([not (has[i] * has[j]).any() for i, j in zip(a, b, strict=True)], bool)
-        else:
-            due = (has @ has.T)[a, b] == 0
+    if len(a) and m <= 6:
+        lower = [{x for x in own if x < leader} for own in leaders]
+        due = np.array([lower[i].isdisjoint(lower[j]) for i, j in zip(a, b, strict=True)], bool)
+        a, b = a[due], b[due]
+    elif len(a):
+        held = Counter(x for own in leaders for x in own if x < leader)
+        lower = [x for x, n in held.items() if n > 1]  # what one text alone has is not in common
+        due = np.ones(len(a), bool)
+        for first in range(0, len(lower), 4096):
+            at = {x: i for i, x in enumerate(lower[first : first + 4096])}
+            has = np.zeros((m, len(at)), np.float32)
+            for i, own in enumerate(leaders):
+                for x in own:
+                    if (k := at.get(x)) is not None:
+                        has[i, k] = 1
+            due &= (has @ has.T)[a, b] == 0
         a, b = a[due], b[due]
     return a, b
 

@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, written
+from tessera.llm.spans import let
 
 BUCKETS = 1 << 14
 PER_LANGUAGE = 1000
@@ -277,11 +278,11 @@ def fuse(scored: DataFrame, langs: list[str], host: str, domain: str, declared:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def shrunk(shares: Column, prior: Column) -> Column:
-        return F.transform(shares, lambda x, i: (x + SHRINK * F.get(prior, i)) / (total(shares) + SHRINK))
+        return let(total(shares), lambda t: F.transform(shares, lambda x, i: (x + SHRINK * F.get(prior, i)) / (t + SHRINK)))
 
     for c, of in (("_all", whole), *((x, F.col(x)) for x in ("_domain", "_host", "_declared", "_suffix"))):
         joined = joined.withColumn(c, rest(of))
-    joined = joined.withColumn("_all", F.transform("_all", lambda x: (x + 1) / (total(F.col("_all")) + n)))
+    joined = joined.withColumn("_all", let(total(F.col("_all")), lambda t: F.transform("_all", lambda x: (x + 1) / (t + n))))
     joined = joined.withColumn("_domain", shrunk(F.col("_domain"), F.col("_all")))
     for c, prior in (("_host", "_domain"), ("_declared", "_all"), ("_suffix", "_all")):
         joined = joined.withColumn(c, shrunk(F.col(c), F.col(prior)))
@@ -333,5 +334,7 @@ def identify_pages(pages: DataFrame, model: Model, key: str = "page_id") -> Data
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs without those that the fusion rejects."""
-    gone = identify_documents(docs, key, text, lang, source).where("not accepted").select(key).distinct()
+    # written first: a filter over the fusion would repeat its expressions in each other
+    found = written(identify_documents(docs, key, text, lang, source).select(key, "accepted"), "accepted")
+    gone = found.where("not accepted").select(key).distinct()
     return docs.join(gone, key, "left_anti")

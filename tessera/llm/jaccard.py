@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, dropped, sweep, written
+from tessera.llm.common import connected_components, dropped, only_marked, sweep, written
 
 BLOCK, BLOCK_TEXTS = 1 << 18, 1024
 MOST_HASHES = 160
@@ -299,7 +299,9 @@ def similar_groups(
                 [batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "groups", "grams"]
             )
 
-    whole = placed.join(df.select(F.col(key).alias("rep"), text), "rep")
+    # a bounded bitmap keeps texts that are in no group out of the shuffle
+    texts = only_marked(df.select(F.col(key).alias("rep"), text, F.xxhash64(F.col(key)).alias("_h")), "_h", placed.select(F.xxhash64("rep").alias("_h")))
+    whole = placed.join(texts.drop("_h"), "rep")
     sets = whole.select("rep", "groups", text).mapInArrow(make, "rep long, groups array<struct<leader:long,nb:int>>, grams binary")
     members = dealt_members(sets)
     links = written(verified_links(members, threshold), "links")

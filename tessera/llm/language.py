@@ -334,7 +334,8 @@ def identify_pages(pages: DataFrame, model: Model, key: str = "page_id") -> Data
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs without those that the fusion rejects."""
-    # written first: a filter over the fusion would repeat its expressions in each other
+    # written first: a filter over the fusion would repeat its expressions in each other; and
+    # of the few keys that it leaves, Spark then knows the size
     found = written(identify_documents(docs, key, text, lang, source).select(key, "accepted"), "accepted")
-    gone = found.where("not accepted").select(key).distinct()
+    gone = written(found.where("not accepted").select(key).distinct(), "rejected")
     return docs.join(gone, key, "left_anti")

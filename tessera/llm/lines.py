@@ -18,7 +18,7 @@ Signatures and verification run on numpy in Arrow batches, which is not native f
 functions take 270 ns of CPU a character for the same signatures (numpy 60), and 400
 microseconds a candidate line for the same verification. Shuffled are band hashes, texts of
 candidate lines and, once, texts of documents. Tables that nothing reads any more are removed
-on the way. Bitmaps that are broadcast keep out of shuffles what has no partner; MOST_BITS
+on the way. Bitmaps that are broadcast keep out of shuffles what has no partner; common.MOST_BITS
 bounds them, and beyond it they let more rows pass, never fewer. Lines are told apart by 128
 bits of hash.
 
@@ -37,14 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, dropped, sweep, written
+from tessera.llm.common import connected_components, dropped, only_marked, sweep, written
 from tessera.llm.jaccard import BLOCK, BLOCK_TEXTS, _mix, dealt_members, verified_links
 
 NARROW = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 6
 MANY = 100  # shingles from which a line is signed by one permutation
-MOST_BITS = 1 << 28  # of a bitmap that is broadcast: 32 MB
 PART = 400_000  # characters that are signed at a time, about
 _LOW = np.uint64((1 << 48) - 1)
 _FACTOR = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -179,23 +178,6 @@ def signed_lines(lines: DataFrame) -> DataFrame:
     return hashed.mapInArrow(work, f"key {kind}, no int, h long, g long, size int, bands array<long>")
 
 
-def only_marked(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
-    """Rows of df whose 64-bit hash in a column may be among marks (their one column).
-
-    A bitmap of about 16 bits a mark (at most MOST_BITS) is broadcast, in rows of 2^15 bits.
-    """
-    bits = min(max(1 << 15, 1 << (16 * marks.count()).bit_length()), MOST_BITS)
-    at = F.col(marks.columns[0]).bitwiseAND(F.lit(bits - 1))
-    one = F.expr("shiftleft(1L, cast(_at & 63 as int))")
-    words = marks.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_w"), one.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
-    held = words.groupBy(F.shiftright("_w", 9).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w").bitwiseAND(F.lit(511)), "_b"))).alias("_m"))
-    held = held.select("_row", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.get(F.array(F.col("_m")[i.cast("long")]), F.lit(0)), F.lit(0).cast("long"))).alias("_words"))
-    at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    near = df.withColumn("_row", F.shiftright(at, 15)).join(F.broadcast(held), "_row")
-    word = F.get("_words", F.shiftright(at, 6).bitwiseAND(F.lit(511)).cast("int"))
-    return near.withColumns({"_word": word, "_bit": at.bitwiseAND(F.lit(63)).cast("int")}).where("shiftright(_word, _bit) & 1 = 1").select(*df.columns)
-
-
 def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All lines, signed (key, no, h, g, ...), and of those that repeat or resemble others (h, g, component).
 

@@ -144,8 +144,11 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, rows: int = PER_L
     """The model of a bounded sample of labelled rows."""
     some = written(labelled_sample(labelled, key, text, lang, rows), "labelled")
 
+    def parts(batches):  # few texts at a time: a trigram takes some fifty bytes of memory
+        return (b.slice(at, 64) for b in batches for at in range(0, len(b), 64))
+
     def count(batches):
-        for batch in batches:
+        for batch in parts(batches):
             codes, size = _codes([_plain(t, False) for t in batch.column(0).to_pylist()])
             names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             known = sorted(set(names))
@@ -177,7 +180,7 @@ def train(labelled: DataFrame, key: str, text: str, lang: str, rows: int = PER_L
     halves = logs(table)
 
     def held_out(batches):
-        for batch in batches:
+        for batch in parts(batches):
             codes, size = _codes([_plain(t, False) for t in batch.column(0).to_pylist()])
             means = [_means(h, codes, size) for h in halves]
             half = np.array(batch.column(2).to_pylist(), np.int64)

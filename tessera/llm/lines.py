@@ -3,24 +3,22 @@
 Lines are parts of texts between line feeds; lines without a non-space are left alone.
 The signature of a line is a MinHash over its shingles of NARROW characters, the same set that
 verification compares: BANDS bands of ROWS values, so lines at the threshold meet with a
-probability of 1 - (1 - THRESHOLD^ROWS)^BANDS = 0.974, and of 0.997 at 0.85. Lines of many
-shingles take them from one permutation: the range of hashes is cut into BANDS classes, and
-the ROWS smallest hashes of a class are a band. Lines of few shingles have BANDS * ROWS
-permutations. Sizes between the two ways are signed in both.
+probability of 1 - (1 - THRESHOLD^ROWS)^BANDS = 0.974, and of 0.997 at 0.85. The range
+of hashes is cut into BANDS classes, and the ROWS smallest hashes of a class are a band. Lines
+of fewer than MANY shingles sign each in several copies, with a hash of its own each, so that
+classes hold enough; sizes next to where the number of copies changes are signed in both ways.
 
 A bucket (lines with one band) is named by its smallest hash, its leader; whoever shares a
 bucket shares its leader, and all members of a leader's group meet, in blocks, as in
-jaccard.py: a pair is verified once, by exact Jaccard similarity (THRESHOLD). What a task gives
-is each line's smallest partner, so rows grow with lines, not pairs. Distributed union-find
-joins verified pairs to components, of which the first line (by key, then line number) stays.
-
-Signatures and verification run on numpy in Arrow batches, which is not native form: built-in
-functions take 270 ns of CPU a character for the same signatures (numpy 60), and 400
-microseconds a candidate line for the same verification. Shuffled are band hashes, texts of
-candidate lines and, once, texts of documents. Tables that nothing reads any more are removed
-on the way. Bitmaps that are broadcast keep out of shuffles what has no partner; common.MOST_BITS
-bounds them, and beyond it they let more rows pass, never fewer. Lines are told apart by 128
-bits of hash.
+jaccard.py, by exact Jaccard similarity (THRESHOLD) of their sets. A task folds its members into
+clusters and gives each line's cluster, so rows grow with lines, not pairs. Distributed
+union-find joins those to components, of which the first line (by key, then line number) stays.
+
+All of it is built-in functions; band_keys() is the signature in plain Python, for tests.
+Shuffled are band hashes, texts of candidate lines and, once, texts of documents. Tables that
+nothing reads any more are removed on the way. Bitmaps that are broadcast keep out of shuffles
+what has no partner; common.MOST_BITS bounds them, and beyond it they let more rows pass, never
+fewer. Lines are told apart by 128 bits of hash.
 
 Cases: null text stays null and an empty text stays empty; rows with a null key keep their
 text; rows that repeat a key count as one document's lines; ties go to the smaller key,
@@ -30,23 +28,22 @@ an empty table gives no rows; very long lines are compared whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, dropped, only_marked, sweep, written
-from tessera.llm.jaccard import BLOCK, BLOCK_TEXTS, _mix, dealt_members, verified_links
+from tessera.llm.jaccard import BLOCK, BLOCK_TEXTS, dealt_members
 
 NARROW = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 6
-MANY = 100  # shingles from which a line is signed by one permutation
-PART = 400_000  # characters that are signed at a time, about
-_LOW = np.uint64((1 << 48) - 1)
-_FACTOR = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MANY = 100  # shingles from which a line signs each once
+_MASK = (1 << 64) - 1
+#: what cuts the range of hashes into BANDS classes
+_BOUNDS = [c * (1 << 64) // BANDS - (1 << 63) + 1 for c in range(BANDS)] + [(1 << 63) - 1]
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,123 +56,102 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g")]
 
 
-def _places(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of all shingles of some lines: 48 bits of hash.
+def _shingles(line: str) -> str:
+    """The distinct shingle hashes of a text; one of less than NARROW characters is one shingle.
 
-    A shingle of characters below 256 is five bytes, read in place; others are hashed first.
+    The text in UTF-32 is bound to a lambda variable, so it is encoded once, and a shingle
+    is found by its place.
     """
-    size = np.array([len(x) for x in lines], np.int64)
-    wide = np.maximum(size, NARROW)
-    starts = np.cumsum(wide) - wide
-    text = "".join([x if len(x) >= NARROW else x.ljust(NARROW, "\0") for x in lines])
-    n = len(text) - NARROW + 1
-    try:
-        raw = text.encode("latin-1") + bytes(8)
-        out = np.ndarray(n, "<u8", raw, strides=(1,)) & np.uint64((1 << 8 * NARROW) - 1)
-    except UnicodeEncodeError:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        out, hashed, large = (np.zeros(n, t) for t in (np.uint64, np.uint64, bool))
-        for i in range(NARROW):
-            at = codes[i : n + i]
-            out |= (at & np.uint64(255)) << np.uint64(8 * i)
-            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + at
-            large |= at > 255
-        out[large] = hashed[large] | np.uint64(1 << 63)
-    short = size < NARROW  # how much is missing tells them from texts that end in zeros
-    out[starts[short]] ^= (NARROW - size[short]).astype(np.uint64) << np.uint64(8 * NARROW)
-    out ^= out >> np.uint64(31)
-    for by in (0x9E3779B97F4A7C15, 0x94D049BB133111EB):
-        out *= np.uint64(by)
-        out ^= out >> np.uint64(29)
-    out >>= np.uint64(16)
-    inside = np.ones(len(text), bool)
-    for i in range(1, NARROW):
-        inside[starts[1:] - i] = False
-    return out[inside[:n]], np.repeat(np.arange(len(lines), dtype=np.uint64), wide - NARROW + 1)
-
-
-def _sorted(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, line), by line and hash; at most 2^16 lines."""
-    both = (line << np.uint64(48)) | hashes
-    both.sort()
-    both = both[np.concatenate([both[:1] >= 0, both[1:] != both[:-1]])]
-    return both & _LOW, (both >> np.uint64(48)).astype(np.int64)
-
-
-def _one_permutation(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band, line): a hash of the ROWS smallest of each class that a line has any of."""
-    if not len(hashes):
-        return hashes, line
-    group = line * BANDS + (((hashes >> np.uint64(24)) * np.uint64(BANDS)) >> np.uint64(24)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    ends = np.append(starts[1:], len(group))
-    band = (group[starts] % BANDS).astype(np.uint64)
-    for k in range(ROWS):
-        has = starts + k < ends
-        band[has] = _mix(band[has] * np.uint64(31) + hashes[starts[has] + k] + np.uint64(1))
-    return band, line[starts]
-
-
-def _many_permutations(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band, line): BANDS hashes of ROWS minima each."""
-    if not len(hashes):
-        return hashes, line
-    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    values = (hashes >> np.uint64(16)).astype(np.uint32)
-    band = np.repeat(np.arange(100, 100 + BANDS, dtype=np.uint64)[:, None], len(starts), axis=1)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(values * _FACTOR[k], starts).astype(np.uint64)
-        band[k // ROWS] = _mix(band[k // ROWS] * np.uint64(31) + least + np.uint64(1))
-    return band.ravel(), np.tile(line[starts], BANDS)
+    return f"""get(transform(array(encode({line}, 'UTF-32')), b -> array_distinct(transform(
+        sequence(0, cast(greatest(length(b) div 4 - {NARROW}, 0) as int)), i -> xxhash64(substring(b, 4 * i + 1, {4 * NARROW}))))), 0)"""
 
 
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(band, line) of all bands of some lines, by line."""
-    hashes, line = _sorted(*_places(lines))
-    size = np.bincount(line, minlength=len(lines))
-    parts = []
-    for make, keep in ((_one_permutation, size >= MANY * THRESHOLD), (_many_permutations, size < MANY)):
-        some = keep[line]
-        parts.append(make(hashes[some], line[some]))
-    band, of = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(of, kind="stable")
-    return band[order].view(np.int64), of[order]
-
-
-def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each line."""
-    hashes, line = _sorted(*_places(lines))
-    return np.split(hashes, np.flatnonzero(line[1:] != line[:-1]) + 1)
-
-
-def parts_of(texts: list[str]) -> Iterator[list[str]]:
-    """Parts of a list, of about PART characters or one text."""
-    first, held = 0, 0
-    for i, x in enumerate(texts):
-        held += len(x)
-        if held > PART or i - first > 30_000:
-            yield texts[first : i + 1]
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield texts[first:]
+def _ways(n: int) -> list[int]:
+    """How many copies a line signs its n shingles in: one or two numbers."""
+    most = 1
+    while n * most < MANY:
+        most *= 2
+    return [most, most // 2] if most > 1 and n * most // 2 >= MANY * THRESHOLD else [most]
 
 
 def signed_lines(lines: DataFrame) -> DataFrame:
-    """key, no, h, g, size (in characters) and bands of lines with key, no and line; no shuffle."""
-    hashed = lines.select("key", "no", *_hashes(), F.length("line").alias("size"), "line")
+    """key, no, h, g, size (in characters), first and bands of lines with key, no and line; no shuffle.
+
+    A line that is signed in two ways has two rows, of which one is first.
+    """
+    names = ["key", "no", "h", "g", "size"]
+    hashed = lines.select("key", "no", *_hashes(), F.length("line").alias("size"), F.expr(_shingles("line")).alias("_set"))
+    # explodes of one item keep Spark from working out what they hold once per use
+    hashed = hashed.select(*names, F.explode(F.array("_set")).alias("_set"))
+    few = F.array(*[F.array(*map(F.lit, _ways(max(n, 1)))) for n in range(MANY)])
+    ways = F.when(F.size("_set") < MANY, F.get(few, F.size("_set"))).otherwise(F.array(F.lit(1)))
+    hashed = hashed.select(*names, "_set", F.posexplode(ways).alias("_way", "_copies"))
+
+    copied = """CASE WHEN _copies = 1 THEN _set ELSE transform(
+        sequence(0, size(_set) * _copies - 1), j -> xxhash64(get(_set, j % size(_set)), cast(j div size(_set) as int))) END"""
+    bounds = f"array({', '.join(f'{x}L' for x in _BOUNDS)})"
+    found = hashed.selectExpr(*names, "_way", "_copies", f"sort_array(concat({copied}, {bounds})) AS _s")
+    found = found.select(*names, "_way", "_copies", F.explode(F.array("_s")).alias("_s"))
+    at = [f"array_position(_s, {x}L)" for x in _BOUNDS]
+    found = found.selectExpr(*names, "_way", "_copies", "_s", f"array({', '.join(at)}) AS _at")
+    found = found.select(*names, "_way", "_copies", "_s", F.explode(F.array("_at")).alias("_at"))
+    own = [f"get(_at, {c + 1}) - get(_at, {c}) - 1" for c in range(BANDS)]
+    bands = [
+        f"CASE WHEN {n} > 0 THEN xxhash64(_copies, {c}, slice(_s, cast(get(_at, {c}) + 1 as int), cast(least({n}, {ROWS}) as int))) END" for c, n in enumerate(own)
+    ]
+    found = found.selectExpr(*names, "_way = 0 AS first", f"array({', '.join(bands)}) AS bands")
+    return found.withColumn("bands", F.array_compact("bands"))
 
-    def work(batches):
-        for batch in batches:
-            at = 0
-            for texts in parts_of(batch.column(5).to_pylist()):
-                band, of = band_keys(texts)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
-                found = pa.ListArray.from_arrays(offsets, band)
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:5], found], names=["key", "no", "h", "g", "size", "bands"])
-                at += len(texts)
 
-    kind = lines.schema["key"].dataType.simpleString()
-    return hashed.mapInArrow(work, f"key {kind}, no int, h long, g long, size int, bands array<long>")
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(band, line) of all bands of some lines, by line: signed_lines in plain Python, for tests."""
+    import xxhash
+
+    def hashed(data: bytes, seed: int) -> int:
+        return xxhash.xxh64_intdigest(data, seed & _MASK)
+
+    band, of = [], []
+    for at, line in enumerate(lines):
+        own = {hashed(line[i : i + NARROW].encode("utf-32-be"), 42) for i in range(max(1, len(line) - NARROW + 1))}
+        for copies in _ways(len(own)):
+            hashes = own if copies == 1 else {hashed(struct.pack("<i", r), hashed(struct.pack("<Q", x), 42)) for x in own for r in range(copies)}
+            ordered = sorted(x - (1 << 64) if x >> 63 else x for x in hashes)
+            for c in range(BANDS):
+                some = [x for x in ordered if _BOUNDS[c] < x < _BOUNDS[c + 1]][:ROWS]
+                seed = hashed(struct.pack("<i", c), hashed(struct.pack("<i", copies), 42))
+                for x in some:
+                    seed = hashed(struct.pack("<q", x), seed)
+                if some:
+                    band.append(seed)
+                    of.append(at)
+    return np.array(band, np.uint64).view(np.int64), np.array(of, np.int64)
+
+
+def similar_members(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of the members of a task that hang together; members: leader, bi, bj, rep, block, line.
+
+    A task is one row with the shingle sets of all its members. A fold over them keeps
+    their clusters so far: the next member joins all clusters that hold a line like it to
+    one. So near copies are mostly compared once each, with the first line of their cluster.
+    """
+    dealt = members.select("leader", "bi", "bj", F.struct("rep", "block", "line").alias("x")).repartition("leader", "bi", "bj")
+    tasks = dealt.groupBy("leader", "bi", "bj").agg(F.collect_list("x").alias("_all")).where("size(_all) > 1")
+    tasks = tasks.selectExpr("bi", "bj", f"transform(_all, x -> struct(x.rep AS rep, x.block AS block, {_shingles('x.line')} AS items)) AS _all")
+    tasks = tasks.select("bi", "bj", F.explode(F.array("_all")).alias("_all"))
+    x, y = "get(_all, i)", "get(_all, j)"
+    # a tolerance as in jaccard.py: pairs at the threshold count
+    alike = f"""(bi = bj OR {x}.block <> {y}.block)
+        AND least(size({x}.items), size({y}.items)) >= {threshold!r}D * greatest(size({x}.items), size({y}.items)) - 1e-9D
+        AND size(array_intersect({x}.items, {y}.items)) * {1 + threshold!r}D >= {threshold!r}D * (size({x}.items) + size({y}.items)) - 1e-9D"""
+    step = f"""transform(
+        array(transform(acc, c -> struct(c, exists(c, j -> {alike}) AS met))),
+        m -> concat(
+            transform(filter(m, e -> NOT e.met), e -> e.c),
+            array(concat(flatten(transform(filter(m, e -> e.met), e -> e.c)), array(i)))))[0]"""
+    fold = f"aggregate(sequence(0, size(_all) - 1), cast(array() as array<array<int>>), (acc, i) -> {step})"
+    found = tasks.selectExpr(f"transform(filter({fold}, c -> size(c) > 1), c -> transform(c, k -> get(_all, k).rep)) AS _found")
+    found = found.select(F.explode("_found").alias("_reps"))
+    return found.select(F.explode("_reps").alias("node"), F.get("_reps", F.lit(0)).alias("root"))
 
 
 def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -208,11 +184,11 @@ def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
     found = found.withColumn("g", _hashes()[1]).groupBy("h", "g").agg(F.first("line").alias("line"))
     # lines are dealt out as texts: their shingle sets would take eight times the space
     dealt = dealt_members(found.join(placed, ["h", "g"]).select("rep", "groups", F.col("line").alias("grams")))
-    links = written(verified_links(dealt, threshold, lambda texts: [x for part in parts_of(texts) for x in shingle_sets(part)]), "links")
+    links = written(similar_members(dealt.withColumnRenamed("grams", "line"), threshold), "links")
     sweep(spark)
 
     parts = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    repeats = signed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", F.lit(None).cast("long").alias("component"))
+    repeats = signed.where("first").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", F.lit(None).cast("long").alias("component"))
     about = placed.join(parts, placed["rep"] == parts["node"]).select("h", "g", "component").unionByName(repeats)
     about = written(about.groupBy("h", "g").agg(F.max("component").alias("component")), "similar")
     dropped(placed, links, parts)
@@ -223,7 +199,7 @@ def line_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD
 def drop_similar_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with each component's lines taken out but its first; plus n_lines and n_dropped."""
     signed, about = line_groups(df, key, text, threshold)
-    hits = signed.select("key", "no", "h", "g").join(about, ["h", "g"])
+    hits = signed.where("first").select("key", "no", "h", "g").join(about, ["h", "g"])
     # lines that only repeat are a group by their own hashes
     own = [F.when(F.col("component").isNull(), F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("h", "g")]
     hits = written(hits.select(F.coalesce("component", F.lit(-1)).alias("component"), *own, F.struct("key", "no").alias("id")), "hits")

@@ -450,6 +450,28 @@ def test_line_signatures_reach_the_recall():
     assert own[0] == own[1] and own[2] != own[3] and all(own)
 
 
+def test_lines_are_signed_and_verified_by_built_in_functions(spark, monkeypatch):
+    def python(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    frame = type(spark.range(1))
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(frame, name, python)
+    rng = random.Random(31)
+    made = ["ab", "ab\0\0\0", "=" * 20, "=" * 80, "\U0001f600\u00e9", "ab" * 60, "x" * 3000, prose(rng, 300)]
+    made += [prose(rng, 40)[: rng.randint(5, 200)] for _ in range(60)]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(made)], "key long, no int, line string")
+    got = defaultdict(list)
+    for r in lines.signed_lines(df).collect():
+        got[r.key] += r.bands
+    for i, x in enumerate(made):
+        assert sorted(got[i]) == sorted(lines.band_keys([x])[0].tolist())
+    long = "".join(chr(97 + rng.randrange(26)) for _ in range(30_000))
+    texts = [f"{long}{i}" for i in range(3)] + ["a line of its own, of some length"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in lines.drop_similar_lines(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def test_lines_in_groups_of_many_blocks(spark, monkeypatch):
     rng = random.Random(21)
     head = "".join(rng.choice("abcdefgh ") for _ in range(400))

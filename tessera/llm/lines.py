@@ -60,10 +60,10 @@ def _shingles(line: str) -> str:
     """The distinct shingle hashes of a text; one of less than NARROW characters is one shingle.
 
     The text in UTF-32 is bound to a lambda variable, so it is encoded once, and a shingle
-    is found by its place.
+    is found by its place. array_distinct stays outside, where it is compiled.
     """
-    return f"""get(transform(array(encode({line}, 'UTF-32')), b -> array_distinct(transform(
-        sequence(0, cast(greatest(length(b) div 4 - {NARROW}, 0) as int)), i -> xxhash64(substring(b, 4 * i + 1, {4 * NARROW}))))), 0)"""
+    return f"""array_distinct(get(transform(array(encode({line}, 'UTF-32')), b -> transform(
+        sequence(1, cast(greatest(length(b) - {4 * NARROW - 1}, 1) as int), 4), i -> xxhash64(substring(b, i, {4 * NARROW})))), 0))"""
 
 
 def _ways(n: int) -> list[int]:
@@ -80,17 +80,17 @@ def signed_lines(lines: DataFrame) -> DataFrame:
     A line that is signed in two ways has two rows, of which one is first.
     """
     names = ["key", "no", "h", "g", "size"]
-    hashed = lines.select("key", "no", *_hashes(), F.length("line").alias("size"), F.expr(_shingles("line")).alias("_set"))
+    bounds = f"array({', '.join(f'{x}L' for x in _BOUNDS)})"
+    hashed = lines.select("key", "no", *_hashes(), F.length("line").alias("size"), F.expr(f"sort_array(concat({_shingles('line')}, {bounds}))").alias("_s"))
     # explodes of one item keep Spark from working out what they hold once per use
-    hashed = hashed.select(*names, F.explode(F.array("_set")).alias("_set"))
+    hashed = hashed.select(*names, F.explode(F.array("_s")).alias("_s")).withColumn("_n", F.size("_s") - len(_BOUNDS))
     few = F.array(*[F.array(*map(F.lit, _ways(max(n, 1)))) for n in range(MANY)])
-    ways = F.when(F.size("_set") < MANY, F.get(few, F.size("_set"))).otherwise(F.array(F.lit(1)))
-    hashed = hashed.select(*names, "_set", F.posexplode(ways).alias("_way", "_copies"))
+    ways = F.when(F.col("_n") < MANY, F.get(few, F.col("_n"))).otherwise(F.array(F.lit(1)))
+    hashed = hashed.select(*names, "_s", F.posexplode(ways).alias("_way", "_copies"))
 
-    copied = """CASE WHEN _copies = 1 THEN _set ELSE transform(
-        sequence(0, size(_set) * _copies - 1), j -> xxhash64(get(_set, j % size(_set)), cast(j div size(_set) as int))) END"""
-    bounds = f"array({', '.join(f'{x}L' for x in _BOUNDS)})"
-    found = hashed.selectExpr(*names, "_way", "_copies", f"sort_array(concat({copied}, {bounds})) AS _s")
+    copied = f"""CASE WHEN _copies = 1 THEN _s ELSE sort_array(concat(flatten(transform(
+        array_except(_s, {bounds}), x -> transform(sequence(0, _copies - 1), r -> xxhash64(x, r)))), {bounds})) END"""
+    found = hashed.selectExpr(*names, "_way", "_copies", f"{copied} AS _s")
     found = found.select(*names, "_way", "_copies", F.explode(F.array("_s")).alias("_s"))
     at = [f"array_position(_s, {x}L)" for x in _BOUNDS]
     found = found.selectExpr(*names, "_way", "_copies", "_s", f"array({', '.join(at)}) AS _at")
@@ -99,7 +99,10 @@ def signed_lines(lines: DataFrame) -> DataFrame:
     bands = [
         f"CASE WHEN {n} > 0 THEN xxhash64(_copies, {c}, slice(_s, cast(get(_at, {c}) + 1 as int), cast(least({n}, {ROWS}) as int))) END" for c, n in enumerate(own)
     ]
-    found = found.selectExpr(*names, "_way = 0 AS first", f"array({', '.join(bands)}) AS bands")
+    # exists keeps this out of whole-stage code, whose one method would be too long to be compiled;
+    # array_compact isn't compiled, nor is what it takes, and there a slice copies all of _s
+    found = found.selectExpr(*names, "exists(array(_way), w -> w = 0) AS first", f"array({', '.join(bands)}) AS bands")
+    found = found.select(*names, "first", F.explode(F.array("bands")).alias("bands"))
     return found.withColumn("bands", F.array_compact("bands"))
 
 
@@ -149,7 +152,8 @@ def similar_members(members: DataFrame, threshold: float) -> DataFrame:
             transform(filter(m, e -> NOT e.met), e -> e.c),
             array(concat(flatten(transform(filter(m, e -> e.met), e -> e.c)), array(i)))))[0]"""
     fold = f"aggregate(sequence(0, size(_all) - 1), cast(array() as array<array<int>>), (acc, i) -> {step})"
-    found = tasks.selectExpr(f"transform(filter({fold}, c -> size(c) > 1), c -> transform(c, k -> get(_all, k).rep)) AS _found")
+    # an explode of one item, else Spark takes the fold into a filter too and works it out several times
+    found = tasks.selectExpr(f"explode(array(transform(filter({fold}, c -> size(c) > 1), c -> transform(c, k -> get(_all, k).rep)))) AS _found")
     found = found.select(F.explode("_found").alias("_reps"))
     return found.select(F.explode("_reps").alias("node"), F.get("_reps", F.lit(0)).alias("root"))
 

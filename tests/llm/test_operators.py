@@ -472,6 +472,22 @@ def test_lines_are_signed_and_verified_by_built_in_functions(spark, monkeypatch)
     assert {r.doc_id: r.n_dropped for r in lines.drop_similar_lines(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_lines_are_signed_and_verified_once_by_compiled_code(spark):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    members = spark.range(9).selectExpr("id % 2 AS leader", "0 AS bi", "0 AS bj", "id AS rep", "0 AS block", "repeat('a line ', int(id)) AS line")
+    clusters = plan(lines.similar_members(members, lines.THRESHOLD))
+    signed = plan(lines.signed_lines(members.selectExpr("rep AS key", "0 AS no", "line")))
+    spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert clusters.count("aggregate(") == 1  # also in a filter before, for each of its conditions
+    # what a lambda function is applied to isn't compiled either
+    assert "slice(" in signed and not re.search(r"filter\(.*slice\(", signed)
+    assert clusters.count("array_distinct(") == 1 and not re.search(r"array_distinct\(transform\(sequence", signed)
+
+
 def test_lines_in_groups_of_many_blocks(spark, monkeypatch):
     rng = random.Random(21)
     head = "".join(rng.choice("abcdefgh ") for _ in range(400))
